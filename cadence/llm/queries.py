@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, mixing, packing, quality, unigram
+from . import audio, html, mixing, packing, phrases, quality, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
 
 
+def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -40,9 +45,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_quality_rules, op6_telephony_audio, op7_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_repeated_phrases, op2_mix_sources, op5_quality_rules, op6_telephony_audio, op7_best_fit_packing, op9_site_style_tree, op10_token_counts)}
 ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL}
