@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html, mixing, packing, phrases, quality, unigram
+from . import audio, html, mixing, near_dup, packing, phrases, quality, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -54,5 +59,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_phrases, op2_mix_sources, op5_quality_rules, op6_telephony_audio, op7_best_fit_packing, op9_site_style_tree, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_repeated_phrases, op2_mix_sources, op4_super_minhash, op5_quality_rules, op6_telephony_audio, op7_best_fit_packing, op9_site_style_tree, op10_token_counts)}
 ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL}
