@@ -93,15 +93,16 @@ def _numbers(texts: pa.Array) -> np.ndarray:
 
 
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs(text, ...) -> the kept columns and one double per name of STATISTICS."""
-    chosen = docs.select(*keep, "text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep] + [f"{x} double" for x in STATISTICS])
+    """docs(text, ...) -> the kept columns and one double per name of STATISTICS, as statistic_<name>."""
+    chosen = docs.select(*(c for c in keep if c != "text"), "text")
+    made = [f"statistic_{x}" for x in STATISTICS]
+    schema = ", ".join([f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep] + [f"{x} double" for x in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in W.slices(batch):
                 x = _numbers(b.column("text"))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*keep, *STATISTICS])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=[*keep, *made])
 
     return chosen.mapInArrow(run, schema)
 
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     """The sample, of sample_rows at most, goes to every executor and its statistics to the driver; docs stay where they are."""
     taught = docs.join(F.broadcast(learnable(labels, sample_rows)), F.col("doc_id") == F.col("label_id"))
     rows = statistics(taught.select("doc_id", "quality", "text"), ("doc_id", "quality")).toPandas().sort_values(["doc_id", "quality"], kind="stable")
-    return fit_rows(rows[list(STATISTICS)].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
+    return fit_rows(rows[[f"statistic_{x}" for x in STATISTICS]].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
 
 
 def expression(model: Model) -> Column:
@@ -226,7 +227,8 @@ def expression(model: Model) -> Column:
     for rule in model.rules:
         holds = None
         for name, above, bound in rule.conditions:
-            one = F.col(name) > bound if above else F.col(name) <= bound
+            value = F.col(f"statistic_{name}")
+            one = value > bound if above else value <= bound
             holds = one if holds is None else holds & one
         total = total + F.when(holds, F.lit(rule.weight)).otherwise(0.0)
     return 1.0 / (1.0 + F.exp(-total))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html, mixing, near_dup, packing, phrases, quality, unigram
+from . import audio, html, line_dedup, mixing, near_dup, packing, phrases, quality, topk, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors)
+
+
 def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -50,6 +55,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
+def op8_pairwise_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_common_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return html.extract_pages(table(spark, sf_dir, "pages"))
@@ -59,5 +70,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeated_phrases, op2_mix_sources, op4_super_minhash, op5_quality_rules, op6_telephony_audio, op7_best_fit_packing, op9_site_style_tree, op10_token_counts)}
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repeated_phrases, op2_mix_sources, op3_branch_and_bound, op4_super_minhash, op5_quality_rules, op6_telephony_audio,
+        op7_best_fit_packing, op8_pairwise_alignment, op9_site_style_tree, op10_token_counts,
+    )
+}
+ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_branch_and_bound": topk.ORACLE_SQL}
