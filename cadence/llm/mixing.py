@@ -89,10 +89,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs, each as often as mix() says. docs has one row per doc_id."""
-    copies = mixed.filter("copies > 0").select(F.col("doc_id").alias("its_id"), F.col("copies").alias("its_copies"))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("its_id")))
-    names = docs.columns
-    return out.select(*[out[c] for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("its_copies"))).alias("its_copy")).select(*names)
+    copies = mixed.filter("copies > 0").select("doc_id", "copies")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
+    out = rows.join(copies, F.col("kept.doc_id").eqNullSafe(F.col("doc_id")))
+    return out.select("kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("kept.*")
 
 
 ORACLE_SQL = rf"""

@@ -89,8 +89,10 @@ class Chunk:
 
 def _deal(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of sorted 64-bit keys: a bucket is a range of their upper halves."""
+    if not len(keys):
+        return []
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     return [(int(bucket[i]), i, j) for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True)]
 
 

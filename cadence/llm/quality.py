@@ -82,6 +82,7 @@ def _numbers(texts: pa.Array) -> np.ndarray:
     keep = np.concatenate([[True], line_starts[1:] != line_starts[:-1]]) if len(line_starts) else np.zeros(0, bool)
     line_starts, line_owner = line_starts[keep], line_owner[keep]
     line_ends = np.minimum(np.append(line_starts[1:], len(data)), at[line_owner + 1]) if len(line_starts) else line_starts
+    line_ends = line_ends - ((line_ends > line_starts) & (data[np.maximum(line_ends, 1) - 1] == 10)) if len(line_starts) else line_ends
     lines, _ = _distinct(line_owner, W.spans_hash(data, line_starts, line_ends), n)
     n_lines = np.bincount(line_owner, minlength=n)
     by = lambda x, y: np.divide(x, y, out=np.zeros(n), where=y > 0)

@@ -72,7 +72,7 @@ class Counter:
         bare = bare[np.argsort(depth[bare], kind="stable")]
         key = key[order]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else key
-        bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)], strict=True))
+        bounds = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(key)][: len(cuts)], strict=True))
         at_depth = depth[end[order][cuts]].tolist() if len(cuts) else []
         best, pieces, unknown = np.full(nodes, -np.inf), np.zeros(nodes, np.int64), np.zeros(nodes, bool)
         best[begin] = 0.0
