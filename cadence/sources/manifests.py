@@ -28,7 +28,7 @@ def write_manifest(kids: DataFrame, normal: DataFrame, path: str) -> None:
     rows.select("label", F.col("url").alias("value")).write.mode("error").partitionBy("label").text(f"{path}/urls")
     lines = build_labelled(kids.select("position", "url"), normal.select("position", "url"))
     # the one list that must be a single ordered file: its rows are urls of one manifest
-    lines.orderBy("section", "position").coalesce(1).select(F.col("line").alias("value")).write.mode("error").text(f"{path}/labelled")
+    lines.repartition(1).sortWithinPartitions("section", "position").select(F.col("line").alias("value")).write.mode("error").text(f"{path}/labelled")
 
 
 def read_access_sample(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:

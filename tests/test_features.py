@@ -1,0 +1,90 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from cadence.operators import align, features, payload
+from cadence.operators.rangejoin import points_in_intervals
+from cadence.plans.fixtures import Inputs
+
+WORDS = "recording_id long, label string, pos long, word string, start_sec double, end_sec double"
+
+
+@pytest.fixture(scope="module")
+def tone(spark):
+    """220 Hz, give or take 8 Hz five times a second."""
+    return spark.createDataFrame([(1, i / 100, 220 + 8 * math.sin(2 * math.pi * 5 * i / 100)) for i in range(101)], "recording_id long, t double, f0 double")
+
+
+def test_word_features(spark, tone):
+    words = spark.createDataFrame([(1, "kids", 0, "hello", 0.10, 0.40), (1, "kids", 1, "spectacular", 0.60, 0.95)], WORDS)
+    a, b = features.word_features(words, tone).orderBy("pos").collect()
+    assert (a.pause_after_sec, b.pause_after_sec) == (0.2, None)
+    assert a.speech_rate_sps == 6.667 and 200 < a.pitch_mean_hz < 240 and a.pitch_variance > 0.5
+
+
+def test_syllable_features(spark, tone):
+    words = spark.createDataFrame([(1, "kids", 0, "hello", 0.10, 0.40), (1, "kids", 1, "cat", 0.60, 0.90)], WORDS)
+    rows = features.syllable_features(words, tone).orderBy("pos", "syllable_index").collect()
+    assert [r.syllable for r in rows] == ["hel", "lo", "cat"] and [r.pause_after_sec for r in rows] == [0.0, 0.2, None]
+    assert rows[0].end_sec == rows[1].start_sec and rows[1].end_sec == 0.40 and {r.timing_method for r in rows} == {"uniform_within_word"}
+
+
+def test_overlap_order_and_silence(spark):
+    words = spark.createDataFrame([(1, "kids", 0, "a", 0.0, 1.0), (1, "kids", 1, "b", 0.5, 2.0), (1, "kids", 2, "c", 9.0, 9.0), (2, "kids", 0, "d", 0.0, 1.0)], WORDS)
+    frames = spark.createDataFrame([(1, 0.5, 100.0), (1, 1.0, 200.0), (1, 1.5, 0.0), (2, 0.5, 0.0)], "recording_id long, t double, f0 double")
+    a, b, c, d = features.word_features(words, frames).orderBy("recording_id", "pos").collect()
+    assert a.pause_after_sec == 0.0 and c.pause_after_sec is None and d.pause_after_sec is None
+    assert (a.pitch_mean_hz, a.pitch_variance) == (150.0, 2500.0) == (b.pitch_mean_hz, b.pitch_variance)  # both ends are inside
+    assert c.pitch_mean_hz is None and d.pitch_variance is None and c.speech_rate_sps == 1000000.0
+
+
+def test_single_frame_has_no_spread(spark):
+    words = spark.createDataFrame([(1, "kids", 0, "it.", 0.0, 1.0)], WORDS)
+    r = features.word_features(words, spark.createDataFrame([(1, 0.0, 123.456)], "recording_id long, t double, f0 double")).first()
+    assert (r.pitch_mean_hz, r.pitch_variance) == (123.46, 0.0)
+
+
+def test_range_join_is_the_plain_join(spark, sf):
+    i = Inputs(spark, sf)
+    words, frames = i.words().filter("recording_id < 12").drop("label"), i.frames().filter("recording_id < 12")
+    w = words.withColumnRenamed("recording_id", "r")
+    plain = w.join(frames, (w.r == frames.recording_id) & (frames.t >= w.start_sec) & (frames.t <= w.end_sec)).select("recording_id", "pos", "t")
+    bucketed = points_in_intervals(words, frames, "recording_id", F.col("start_sec"), F.col("end_sec"), "t").select("recording_id", "pos", "t")
+    assert plain.count() == bucketed.count() > 1000 and plain.exceptAll(bucketed).count() == 0
+    assert "CartesianProduct" not in bucketed._jdf.queryExecution().toString() and "NestedLoop" not in bucketed._jdf.queryExecution().toString()
+
+
+def test_both_kinds_at_once(spark, sf):
+    i = Inputs(spark, sf)
+    words, frames = i.words().filter("recording_id < 6"), i.frames().filter("recording_id < 6")
+    w, s = features.both_features(words, frames)
+    assert w.select("recording_id", "pos", *features.FEATURES).exceptAll(features.word_features(words, frames).select("recording_id", "pos", *features.FEATURES)).count() == 0
+    assert s.select("recording_id", "pos", "syllable_index", *features.FEATURES).exceptAll(features.syllable_features(words, frames).select("recording_id", "pos", "syllable_index", *features.FEATURES)).count() == 0
+
+
+def test_usable_words(spark):
+    data = [(1, [{"words": [("a", 0.0, 1.0), ("b", None, 2.0), ("  ", 2.0, 3.0)]}, {"words": []}, {"words": [(" c ", 3.0, 4.0)]}]), (2, [])]
+    kind = "recording_id long, segments array<struct<words: array<struct<word: string, start: double, end: double>>>>"
+    rows = align.usable_words(align.flatten_segments(spark.createDataFrame(data, kind))).orderBy("pos").collect()
+    assert [(r.recording_id, r.pos, r.word) for r in rows] == [(1, 0, "a"), (1, 1, "c")]
+
+
+def test_payload_keeps_empty_recordings_and_order(spark, tone):
+    words = spark.createDataFrame([(1, "kids", 1, "cat", 0.6, 0.9), (1, "kids", 0, "hello", 0.1, 0.4)], WORDS)
+    heads = spark.createDataFrame([(1, "kids", "u", "en"), (2, "normal", "v", None)], "recording_id long, label string, source_url string, language string")
+    w, s = features.word_features(words, tone), features.syllable_features(words, tone)
+    one, two = payload.nest_payload(heads, w, s, "both").orderBy("recording_id").collect()
+    assert [x.word for x in one.words] == ["hello", "cat"] and [x.syllable for x in one.syllables] == ["hel", "lo", "cat"] and two.words == [] == two.syllables
+    counted = payload.nest_payload(heads, w, s, "both")
+    assert counted.select(payload.record_counts(counted).alias("n")).first().n == {"words": 2, "syllables": 3}
+    assert "syllables" not in payload.select_granularity(counted, "word").columns
+    with pytest.raises(ValueError):
+        payload.nest_payload(heads, w, s, "phone")
+
+
+def test_compare_labels(spark, sf):
+    from cadence.plans.queries import QUERIES
+
+    rows = {r.label: r for r in QUERIES["compare_labels"](spark, sf).collect()}
+    assert set(rows) == {"kids", "normal"} and rows["normal"].pitch_mean_hz_null_share > rows["kids"].pitch_mean_hz_null_share
