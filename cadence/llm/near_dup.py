@@ -9,9 +9,10 @@ component is what links reach. Links are confirmed on the full sets, made of the
    larger, so a document stops after the step in which its largest place is below the next one.
 2. Rows of one set are one node, named by their least doc_id: copies are never compared.
 3. Bands of a signature give buckets. Each member is compared with the bucket's least one: a star, not all pairs.
-4. Buckets whose members then lie in several components are looked at once more: members of different
-   components are paired if sizes and signatures allow the threshold, verified, and united again. So a link
-   that shares a bucket is lost in no case, and one that shares none is as likely as MISS at the threshold.
+4. Members of buckets that then still hold several components are joined once more, exactly: each set is ordered from its
+   rarest shingle on, and sets of different components meet only in a shingle of both their prefixes, from whose places
+   on enough may still be common. Where a shingle is common to many sets of one component, these are not joined with
+   each other. So a link that shares a bucket is lost in no case, and one that shares none is as likely as MISS.
 
 Cases: a document without words or text has an empty set, no links, and is its own component; a null doc_id is
 linked with nothing, has a null component and is kept; rows of one doc_id are one node; a table without rows
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -108,11 +109,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n = b.num_rows
                 owner, h = shingles(b.column("text"), size)
                 count = np.bincount(owner, minlength=n)
-                sums = []
-                for seed in (1, 2):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(h * np.uint64(2 * seed + 1) + np.uint64(seed)))])
-                    end = np.cumsum(count)
-                    sums.append(W.mix(total[end] - total[end - count]).view(np.int64))
+                sums = [_set_hash(h, count, seed) for seed in (1, 2)]
                 sig = super_minhash(owner, h, n, places)
                 keys = np.zeros((n, bands), np.uint64)
                 for k in range(BAND_ROWS):
@@ -130,30 +127,63 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, marks array<short>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. b's text goes to a, so that a hot a can be split."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("its_id"), F.col("text").alias("its_text"))
-    right = pairs.join(texts, F.col("b") == F.col("its_id")).select("a", "b", F.col("its_text").alias("b_text"))
-    left = pairs.select("a").distinct().join(texts, F.col("a") == F.col("its_id")).select(F.col("a").alias("its_a"), F.col("its_text").alias("a_text"))
-
-    def sets(column: pa.Array, rows: np.ndarray) -> list[np.ndarray]:
-        owner, h = shingles(column.take(pa.array(rows)), size)
-        return np.split(h, np.searchsorted(owner, np.arange(1, len(rows)))) if len(rows) else []
+def full_sets(docs: DataFrame, units: DataFrame, size: int) -> DataFrame:
+    """unit, node, n, shingles (sorted): the whole sets of some nodes, made of their documents' whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in W.slices(batch, "b_text"):
-                a_ids, b_ids = b.column("a").to_numpy(), b.column("b").to_numpy()
-                _, rows, of = np.unique(a_ids, return_index=True, return_inverse=True)
-                a_sets, b_sets = sets(b.column("a_text"), rows), sets(b.column("b_text"), np.arange(len(b_ids)))
-                keep = np.zeros(len(b_ids), bool)
-                for i, x in enumerate(b_sets):
-                    y = a_sets[of[i]]
-                    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(y) else 0
-                    keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([pa.array(a_ids[keep]), pa.array(b_ids[keep])], names=["a", "b"])
-
-    return right.join(left, F.col("a") == F.col("its_a")).select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+            for b in W.slices(batch):
+                owner, h = shingles(b.column("text"), size)
+                count = np.bincount(owner, minlength=b.num_rows)
+                cuts = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+                made = pa.RecordBatch.from_arrays([b.column("unit"), b.column("node"), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))], names=["unit", "node", "n", "shingles"])
+                # of rows that share a doc_id, the one whose set it is
+                yield made.filter(pa.array(_set_hash(h, count, 1) == b.column("unit").to_numpy()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("its_id"), F.col("text").alias("text"))
+    rows = texts.join(units.select("unit", "node"), F.col("its_id") == F.col("node")).select("unit", "node", "text")
+    return rows.mapInArrow(run, "unit long, node long, n long, shingles array<long>").dropDuplicates(["unit"])
+
+
+def _set_hash(h: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of each set, by a sum over its shingles."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(h * np.uint64(2 * seed + 1) + np.uint64(seed)))])
+    end = np.cumsum(count)
+    return W.mix(total[end] - total[end - count]).view(np.int64)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) of units -> nodes (a, b) of those whose full sets reach the threshold. b's set goes to a, so that a hot a can be split."""
+    x, y = (sets.select(F.col("unit").alias(f"{s}_unit"), F.col("node").alias(f"{s}_node"), F.col("shingles").alias(f"{s}_set")) for s in "ab")
+    both = pairs.join(y, F.col("b") == F.col("b_unit")).join(x, F.col("a") == F.col("a_unit"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    reached = 100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)
+    return both.filter(reached).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of units under different roots that may reach the threshold; roots(unit, root) are those to look at.
+
+    Of two sets that reach it, the first shingle that they share in an order from rare to frequent lies in both their
+    prefixes, and what follows it in either is no less than what must be shared.
+    """
+    rows = sets.join(roots, "unit").select("unit", "root", "n", F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("df", "shingle")) - 1
+    placed = rows.join(often, "shingle").withColumn("place", place)
+    prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place")
+    most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
+    prefix = prefix.join(most.select("shingle", "main"), "shingle")
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("unit", "root", "n", "place", "main"))) for s in "ab")
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    fits = (
+        (F.col("a_root") != F.col("b_root"))
+        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        & ((100 + percent) * rest >= percent * (F.col("a_n") + F.col("b_n")))
+    )
+    z = y.withColumnRenamed("shingle", "of_b")
+    met = x.filter("a_root <> a_main").join(z, (F.col("shingle") == F.col("of_b")) & fits)
+    return met.select(F.least("a_unit", "b_unit").alias("a"), F.greatest("a_unit", "b_unit").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -170,30 +200,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     signed = signatures(docs, size, percent).checkpoint()
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     nodes = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"))
-    nodes = nodes.checkpoint()
-    about = nodes.select("node", "n", "marks")
-    members = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = members.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("band", "lead")
+    nodes = nodes.withColumn("unit", F.col("set_a")).checkpoint()
+    members = nodes.select(F.explode("bands").alias("band"), "unit", "node")
+    first = F.struct("node", "unit")
+    shared = members.groupBy("band").agg(F.min(first).alias("lead"), F.max(first).alias("last")).filter("lead < last").select("band", F.col("lead.unit").alias("lead"))
     members = members.join(shared, "band").checkpoint()
-    a, b = (about.select(F.col("node").alias(f"{x}_node"), F.col("n").alias(f"{x}_n"), F.col("marks").alias(f"{x}_marks")) for x in "ab")
-    stars = members.filter("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    stars = _similar(stars.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node")), percent)
-    links = verify(stars, docs, size, percent)
-    found = components(links)
-
-    # buckets that still hold several components: their members of different components, if the signatures allow a link
+    sets = full_sets(docs, members.select("unit", "node").distinct(), size).checkpoint()
+    about = nodes.select("unit", "n", "marks")
+    a, b = (about.select(F.col("unit").alias(f"{x}_unit"), F.col("n").alias(f"{x}_n"), F.col("marks").alias(f"{x}_marks")) for x in "ab")
+    stars = members.filter("unit <> lead").select(F.col("lead").alias("a"), F.col("unit").alias("b")).distinct()
+    stars = _similar(stars.join(a, F.col("a") == F.col("a_unit")).join(b, F.col("b") == F.col("b_unit")), percent)
+    found = components(verify(stars, sets, percent))
+
+    # buckets that still hold several components
     known = found.select("child", F.col("parent").alias("root"))
-    placed = members.join(known, F.col("node") == F.col("child"), "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(known, F.col("node") == F.col("child"), "left").select("band", "unit", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    open_ = placed.join(mixed, "band").join(about, "node")
-    x, y = (open_.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "marks"))) for s in "ab")
-    across = x.join(y, "band").filter("a_root <> b_root and a_node < b_node").withColumn("a", F.col("a_node")).withColumn("b", F.col("b_node"))
-    across = _similar(across, percent).distinct().join(stars, ["a", "b"], "left_anti").checkpoint()
-    if across.limit(1).count():
-        more = verify(across, docs, size, percent)
+    open_ = placed.join(mixed, "band").select("unit", "root").distinct()
+    more = verify(prefix_pairs(sets, open_, percent), sets, percent).checkpoint()
+    if more.limit(1).count():
         found = components(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(more))
 
-    sets = nodes.join(found, F.col("node") == F.col("child"), "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("parent", "node").alias("of_set"))
-    out = signed.join(sets, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
+    groups = nodes.join(found, F.col("node") == F.col("child"), "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("parent", "node").alias("of_set"))
+    out = signed.join(groups, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
