@@ -34,8 +34,8 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs.
 SHARD_PIECES = 1 << 14
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
+#: Words whose ids a task remembers.
+CACHE_WORDS = 200_000
 
 
 class Capacities(NamedTuple):
@@ -90,11 +90,6 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words))
 
 
-@functools.cache
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -108,7 +103,7 @@ def split(text: bytes) -> list[bytes]:
 
 def ids_of(text: bytes, path: str) -> bytes:
     """The ids of a whole text and the end id."""
-    known, parts = word_ids(path), split(text)
+    known, parts = WordIds(path), split(text)
     known.learn(set(parts))
     return known.of(parts) + END_ID.to_bytes(4, "little")
 
@@ -124,10 +119,11 @@ def pieces(docs: DataFrame, path: str | None = None, tokens: int = SEQUENCE_TOKE
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        known = WordIds(path)
         for batch in batches:
             for b in W.slices(batch):
                 data, at = W.utf8(b.column("text"))
-                raw, out, known = data.tobytes(), [], word_ids(path)
+                raw, out = data.tobytes(), []
                 texts = [split(raw[lo:hi]) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 known.learn(set().union(*texts))
                 for doc, text in zip(b.column("doc_id").to_pylist(), texts, strict=True):

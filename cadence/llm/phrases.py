@@ -3,7 +3,7 @@
 A window is WINDOW successive words of one document. Each word goes that lies in a window whose
 words also begin, in this order, in a document with a smaller doc_id. Documents are judged as they came in.
 
-Documents are dealt into chunks of some MB by a hash of their id; a chunk is worked on as arrays, and
+Documents are dealt into chunks of some MB by a hash of id and text; a chunk is worked on as arrays, and
 asks the rest of the corpus two questions. Both go to buckets by hash ranges and come back as bits:
 
 1. Seeds. Of the runs of SEED words in a window, the one of least hash is its seed, so equal windows
@@ -233,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // chunk_bytes)), max(1, -(-total // bucket_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("long").alias("chunk"))
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"))
     seeds = dealt.groupBy("chunk").applyInArrow(_ask_seeds(window, buckets), ASK).groupBy("bucket").applyInArrow(_tell_seeds, TELL)
     asked = dealt.groupBy("chunk").cogroup(seeds.groupBy("chunk")).applyInArrow(_ask_windows(window, buckets), ASK)
     told = asked.groupBy("bucket").applyInArrow(_tell_windows, TELL)

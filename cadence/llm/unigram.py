@@ -31,8 +31,8 @@ from . import words as W
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_BELOW = 10.0
-#: Words whose counts a worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose counts a task remembers.
+CACHE_WORDS = 200_000
 
 
 class Counter:
@@ -41,7 +41,7 @@ class Counter:
     def __init__(self, vocabulary: list[tuple[str, float]], byte_pieces: bool) -> None:
         import ahocorasick
 
-        self.automaton, self.byte_pieces, self.known = ahocorasick.Automaton(ahocorasick.STORE_INTS), byte_pieces, {}
+        self.automaton, self.byte_pieces = ahocorasick.Automaton(ahocorasick.STORE_INTS), byte_pieces
         for i, (piece, _) in enumerate(vocabulary):
             self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
@@ -97,8 +97,9 @@ class Counter:
                 b = stop
         return pieces[begin + sizes]
 
-    def counts(self, texts: list[list[bytes]]) -> list[int]:
-        known, words = self.known, set().union(*texts)
+    def counts(self, texts: list[list[bytes]], known: dict[bytes, int]) -> list[int]:
+        """Pieces of each text, as a list of words. known holds what was counted before, and is kept small."""
+        words = set().union(*texts)
         missing = [w for w in words if w not in known]
         if len(known) + len(missing) > CACHE_WORDS:
             known.clear()
@@ -136,14 +137,14 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c, known = counter(path), {}
         for batch in batches:
             for b in W.slices(batch):
                 data, at = W.utf8(b.column("text"))
                 raw = data.tobytes()
                 texts = [raw[lo:hi].split() for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 sizes = np.array([len(t) for t in texts], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(c.counts(texts), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(c.counts(texts, known), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")

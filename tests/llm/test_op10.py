@@ -45,4 +45,5 @@ def test_small_cache(monkeypatch):
     monkeypatch.setattr(unigram, "CACHE_WORDS", 3)
     c = unigram.Counter([(unigram.MARK, -1.0), ("a", -1.0), ("b", -1.5), ("ab", -1.2)], False)
     texts = [[b"ab", b"a"], [b"b", b"bb", b"ab"], [], [b"a"] * 5]
-    assert c.counts(texts) == [4, 7, 0, 10]
+    known = {}
+    assert c.counts(texts, known) == [4, 7, 0, 10] == c.counts(texts, known)
