@@ -95,7 +95,7 @@ def words(data: np.ndarray, at: np.ndarray) -> Words:
 
 
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         size = max(n, SLICE_BYTES)
         out = np.full(size, base, np.uint64)
         out[0] = 1
