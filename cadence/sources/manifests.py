@@ -12,7 +12,7 @@ ACCESS = {"yt_dlp_ok": "boolean", "duration": "double", "tested_seconds": "doubl
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, line_no, line of text files, in the order of each file; a byte order mark is dropped."""
-    files = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
     return files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
 
 
