@@ -60,7 +60,7 @@ def offset_of(source: Column, seed: str) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, part_rows: int = PART_ROWS) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, copies: one row per row of docs."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).checkpoint()  # the texts are read once
     groups = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     running = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     sources = targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
