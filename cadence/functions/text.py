@@ -176,7 +176,8 @@ def caption_escape(text: Column) -> Column:
 
 
 def number_or_dash(value: Column, decimals: int, unit: str) -> Column:
-    return F.when(value.isNull(), DASH).otherwise(F.format_string(f"%.{decimals}f {unit}", value))
+    """Exact halves go to the even digit."""
+    return F.when(value.isNull(), DASH).otherwise(F.format_string(f"%.{decimals}f {unit}", F.bround(value, decimals)))
 
 
 def word_info_text(word: Column, pitch: Column, pause: Column, rate: Column) -> Column:

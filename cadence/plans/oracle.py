@@ -168,6 +168,17 @@ SQL: dict[str, str] = {
     "word_info": f"""WITH {WORDS}, z AS (SELECT *, CAST(round_even(start_sec * 100, 0) AS BIGINT) AS c, coalesce(lead(start_sec) OVER (PARTITION BY recording_id ORDER BY pos), end_sec + 1) AS nxt FROM words)
         SELECT recording_id, pos, CAST(c // 360000 AS VARCHAR) || ':' || lpad(CAST(c // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS shown,
         round(greatest(least(end_sec + 0.3, nxt), end_sec), 6)::DOUBLE AS info_end, translate(word, '\\{{}}', '/()') AS word, regexp_matches(word, '[.?!]["'']*$') AS ends FROM z""",
+    "syllables_in_lines": CAPTIONS + f""", {SYLLABLES}, one AS (SELECT recording_id, line, min(start_sec) AS first_start, arg_max(end_sec, pos) AS last_end FROM capt JOIN words USING (recording_id, pos) GROUP BY 1, 2)
+        SELECT o.recording_id, line, pos, syllable_index FROM one o JOIN units x ON x.recording_id = o.recording_id AND x.start_sec >= first_start - 0.005::DOUBLE AND x.start_sec <= last_end + 0.005::DOUBLE""",
+    "word_info_text": WORD_FEATURES + """SELECT recording_id, pos, '“' || translate(word, '\\{}', '/()') || '”    pitch ' || coalesce(printf('%.0f Hz', pitch_mean_hz), '—') || '    pause after ' || coalesce(printf('%.2f s', pause_after_sec), '—')
+        || '    rate ' || printf('%.1f syl/s', speech_rate_sps) AS info FROM feats""",
+    "syllable_text": f"WITH {WORDS}, {SYLLABLES} SELECT recording_id, pos, syllable_index, syllable || CASE WHEN syllable_index = syllable_count THEN '  ' ELSE '·' END AS shown FROM units",
+    "sorted_by_start": f"WITH {WORDS} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_sec - CASE WHEN pos % 5 = 0 THEN 2 ELSE 0 END, pos) - 1 AS pos, pos AS was FROM words",
+    "payload_counts": f"WITH {SEGMENTS} SELECT c.conv_id AS recording_id, 'word' AS granularity, coalesce(n, 0) AS n_words FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT recording_id, count(*) AS n FROM usable GROUP BY 1) ON recording_id = conv_id",
+    "labelled_manifest": f"""WITH {FOUND} SELECT CASE WHEN source = 'youtube_kids' THEN 0 ELSE 1 END AS section, rank AS position, 'https://youtu.be/' || video_id AS line FROM found WHERE rank % 17 <> 0
+        UNION ALL VALUES (0, -1, '# LABEL: YOUTUBE_KIDS'), (1, -1, '# LABEL: NORMAL_YOUTUBE')""",
+    "durations": """SELECT doc_id, round(CAST(n_chars AS DOUBLE) / 60, 2) AS minutes, 'adult/general' AS age_group, n_chars BETWEEN 40 AND 1200 AND doc_id % 50 >= 20 AND doc_id % 50 < n_chars AS range_ok FROM documents""",
+    "incremental_work": "SELECT DISTINCT user_id AS job_id, CASE WHEN user_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events",
     "map_recordings": """SELECT doc_id AS recording_id, CASE WHEN length(text) >= 100 THEN length(text) END AS n, CASE WHEN length(text) >= 100 THEN 'align-' || lang END AS aligner,
         CASE WHEN length(text) >= 100 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN length(text) < 100 THEN 'ValueError: too short' END AS error FROM documents""",
 }

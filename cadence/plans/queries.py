@@ -309,6 +309,69 @@ def word_info(i: Inputs) -> DataFrame:
     return w.select("recording_id", "pos", T.caption_time(F.col("start_sec")).alias("shown"), F.round("info_end", 6).alias("info_end"), T.caption_escape(F.col("word")).alias("word"), T.ends_sentence(F.col("word")).alias("ends"))
 
 
+@query
+def syllables_in_lines(i: Inputs) -> DataFrame:
+    times = captions.line_times(captions.caption_lines(i.words()))
+    return captions.syllables_in_lines(times, align.syllable_units(i.words())).select("recording_id", "line", "pos", "syllable_index")
+
+
+@query
+def word_info_text(i: Inputs) -> DataFrame:
+    f = features.word_features(i.words(), i.frames())
+    return f.select("recording_id", "pos", T.word_info_text(F.col("word"), F.col("pitch_mean_hz"), F.col("pause_after_sec"), F.col("speech_rate_sps")).alias("info"))
+
+
+@query
+def syllable_text(i: Inputs) -> DataFrame:
+    u = align.syllable_units(i.words())
+    return u.select("recording_id", "pos", "syllable_index", T.syllable_text(F.col("syllable"), F.col("syllable_index"), F.col("syllable_count")).alias("shown"))
+
+
+@query
+def sorted_by_start(i: Inputs) -> DataFrame:
+    """Words whose list order is not that of their times, put in order."""
+    w = i.words().withColumn("start_sec", F.col("start_sec") - F.when(F.col("pos") % 5 == 0, 2.0).otherwise(0.0)).withColumn("was", F.col("pos"))
+    return captions.by_start(w).select("recording_id", "pos", "was")
+
+
+@query
+def payload_counts(i: Inputs) -> DataFrame:
+    w = align.usable_words(i.segments())
+    for c in features.FEATURES:
+        w = w.withColumn(c, F.lit(None).cast("double"))
+    heads = i.table("conversations").select(F.col("conv_id").alias("recording_id")).distinct().withColumns({"label": F.lit("kids"), "source_url": F.lit(""), "language": F.lit("en")})
+    p = payload.select_granularity(payload.nest_payload(heads, words=w, granularity="word"), "word")
+    return p.select("recording_id", "granularity", payload.record_counts(p)["words"].cast("long").alias("n_words"))
+
+
+@query
+def labelled_manifest(i: Inputs) -> DataFrame:
+    """Two lists of urls as one with markers; lines that begin with # are left out."""
+    urls = i.found().select("source", F.col("rank").alias("position"), F.when(F.col("rank") % 17 == 0, "# note").otherwise(F.concat(F.lit("https://youtu.be/"), F.col("video_id"))).alias("url"))
+    return manifest.build_labelled(urls.filter("source = 'youtube_kids'").drop("source"), urls.filter("source = 'youtube'").drop("source"))
+
+
+@query
+def durations(i: Inputs) -> DataFrame:
+    d = i.table("documents")
+    return d.select("doc_id", T.duration_min(F.col("n_chars").cast("double")).alias("minutes"), T.age_group(F.col("source"), F.col("lang")).alias("age_group"), T.pitch_range_ok(F.col("doc_id") % 50, F.col("n_chars")).alias("range_ok"))
+
+
+@query
+def incremental_work(i: Inputs) -> DataFrame:
+    """Jobs of the event stream, each worked on once, by a stream that ends when all files are read."""
+    import uuid
+
+    folder = f"{_ready(i.spark)}/work-{uuid.uuid4().hex}"
+    events = i.spark.readStream.schema(i.table("events").schema).option("recursiveFileLookup", True).parquet(f"{i.sf_dir}/events.parquet*")
+
+    def work(batch: DataFrame) -> DataFrame:
+        return batch.select("user_id", F.when(F.col("user_id") % 5 == 0, "failed").otherwise("completed").alias("status"))
+
+    jobs.process_incrementally(events.select("user_id"), "user_id", work, f"{folder}/state", f"{folder}/progress")
+    return i.spark.read.parquet(f"{folder}/state").select(F.col("user_id").alias("job_id"), "status").distinct()
+
+
 @query
 def caption_file(i: Inputs) -> DataFrame:
     """Whole subtitle files: per recording the number of event lines and their length."""
