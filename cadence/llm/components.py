@@ -51,16 +51,17 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """links(a, b), neither null -> child, parent: each linked node but the least of its component, and that least one."""
     e = links.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).filter("child > parent")
-    e = e.mapInArrow(_local, LINK).distinct().checkpoint()
+    e = e.mapInArrow(_local, LINK).checkpoint()
     for _ in range(rounds):
-        state = e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
-        roots = e.select(F.col("parent").alias("p")).distinct()
-        if not state.join(roots, F.col("child") == F.col("p"), "left").filter("n > 1 or p is not null").limit(1).count():
-            return e
         both = e.select(F.col("child").alias("u"), F.col("parent").alias("v")).union(e.select(F.col("parent").alias("u"), F.col("child").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
+        below = F.when(F.col("v") < F.col("u"), F.col("v"))
+        # in a table of its own, so that the links of a hub can be split over tasks
+        near = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.min(below).alias("low"), F.max(below).alias("high"), F.max("v").alias("top")).checkpoint()
+        # settled: no node has two parents, or a parent and a child
+        if not near.filter("low < high or (low < u and top > u)").limit(1).count():
+            return near.filter("low < u").select(F.col("u").alias("child"), F.col("low").alias("parent"))
+        large = both.filter("v > u").join(near.select("u", "m"), "u").select(F.col("v").alias("child"), F.col("m").alias("parent"))
         low = large.groupBy("child").agg(F.min("parent").alias("m"))
         small = large.join(low, "child").filter("parent > m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))
-        e = small.union(low.select("child", F.col("m").alias("parent"))).distinct().checkpoint()
+        e = small.union(low.select("child", F.col("m").alias("parent"))).mapInArrow(_local, LINK).checkpoint()
     raise RuntimeError("components have not settled")

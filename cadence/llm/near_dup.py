@@ -142,7 +142,7 @@ def full_sets(docs: DataFrame, units: DataFrame, size: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("its_id"), F.col("text").alias("text"))
     rows = texts.join(units.select("unit", "node"), F.col("its_id") == F.col("node")).select("unit", "node", "text")
-    return rows.mapInArrow(run, "unit long, node long, n long, shingles array<long>").dropDuplicates(["unit"])
+    return rows.mapInArrow(run, "unit long, node long, n long, shingles array<long>")
 
 
 def _set_hash(h: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
@@ -168,12 +168,13 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     prefixes, and what follows it in either is no less than what must be shared.
     """
     rows = sets.join(roots, "unit").select("unit", "root", "n", F.explode("shingles").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
-    place = F.row_number().over(Window.partitionBy("unit").orderBy("df", "shingle")) - 1
-    placed = rows.join(often, "shingle").withColumn("place", place)
-    prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place")
+    # what stands in a table of its own can be joined with frequent shingles split over tasks
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("df > 1").checkpoint()
+    place = F.dense_rank().over(Window.partitionBy("unit").orderBy(F.coalesce("df", F.lit(1)), "shingle")) - 1  # a repeated row changes nothing
+    placed = rows.join(often, "shingle", "left").withColumn("place", place)
+    prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place").checkpoint()
     most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    prefix = prefix.join(most.select("shingle", "main"), "shingle")
+    prefix = prefix.join(most.select("shingle", "main").checkpoint(), "shingle").checkpoint()
     x, y = (prefix.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("unit", "root", "n", "place", "main"))) for s in "ab")
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     fits = (
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     nodes = nodes.withColumn("unit", F.col("set_a")).checkpoint()
     members = nodes.select(F.explode("bands").alias("band"), "unit", "node")
     first = F.struct("node", "unit")
-    shared = members.groupBy("band").agg(F.min(first).alias("lead"), F.max(first).alias("last")).filter("lead < last").select("band", F.col("lead.unit").alias("lead"))
+    shared = members.groupBy("band").agg(F.min(first).alias("lead"), F.max(first).alias("last")).filter("lead < last").select("band", F.col("lead.unit").alias("lead")).checkpoint()
     members = members.join(shared, "band").checkpoint()
     sets = full_sets(docs, members.select("unit", "node").distinct(), size).checkpoint()
     about = nodes.select("unit", "n", "marks")
@@ -215,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     # buckets that still hold several components
     known = found.select("child", F.col("parent").alias("root"))
     placed = members.join(known, F.col("node") == F.col("child"), "left").select("band", "unit", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band").checkpoint()
     open_ = placed.join(mixed, "band").select("unit", "root").distinct()
     more = verify(prefix_pairs(sets, open_, percent), sets, percent).checkpoint()
     if more.limit(1).count():
