@@ -9,7 +9,9 @@ from . import audio, html, line_dedup, mixing, near_dup, packing, phrases, quali
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of texts that lies in no more pieces than there are cores is dealt out to all of them."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() <= cores else rows
 
 
 def ready(spark: SparkSession) -> None:
