@@ -17,7 +17,9 @@ class Inputs:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table; one of texts that lies in no more pieces than there are cores is dealt out to all of them."""
+        rows, cores = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if name in ("documents", "conversations") and rows.rdd.getNumPartitions() <= cores else rows
 
     def recordings(self) -> DataFrame:
         label = F.when(F.col("doc_id") % 2 == 0, "kids").otherwise("normal")
