@@ -141,7 +141,6 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     known = lines_of(docs).checkpoint()
     each = known.select("doc_id", "row", F.explode(F.array_distinct("lines")).alias("line")).filter("line <> 0")
     owned = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("line", "owner")
-    owned = owned.checkpoint()  # a table of its own, so that the rows of a frequent line can be split over tasks
     pairs = each.join(owned, "line").filter("doc_id > owner").select("doc_id", "row", "owner").distinct()
     owners = known.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("owner_lines"))
     both = pairs.join(known, ["doc_id", "row"]).join(owners, F.col("owner") == F.col("owner_id")).select("doc_id", "row", "owner_lines", "lines", "words")

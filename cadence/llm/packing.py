@@ -35,7 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs.
 SHARD_PIECES = 1 << 14
 #: Words whose ids a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 
 
 class Capacities(NamedTuple):
