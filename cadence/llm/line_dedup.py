@@ -1,12 +1,19 @@
 """Line dedup by pairwise alignment: common blocks of lines go from the later of two documents.
 
-1. Each line has a hash; the earliest document that holds a line owns it.
-2. A document is paired with the owners of the lines it shares: a document has at most as many partners as
-   lines, and a line that a third of all documents hold makes one pair for each of them, not for each two.
-3. A pair is aligned by patience diff on the lines' hashes: equal ends are matched, lines that are
-   rare enough to stand once in either document are anchors, of which the longest ascending series counts,
-   and the stretches between anchors are aligned in turn.
-4. Runs of aligned lines with at least MIN_WORDS words go from the later document. Documents are judged as they came in.
+1. Each line has a hash. A document's runs are its shortest series of lines with MIN_WORDS words, one from each line
+   on and one up to each line: every block with so many words is made of the runs inside it.
+2. A document is paired with the earliest document that holds a run of it, for each run, and with the earliest one
+   of the same lines: as many partners as twice its lines at most, and a run that a third of all documents hold
+   makes one pair for each of them, not for each two.
+3. A pair is aligned by patience diff on the lines' hashes: equal ends are matched, lines that stand once in either
+   document are anchors, of which the longest ascending series counts, and the stretches between anchors are aligned
+   in turn. Where all common lines of a stretch repeat, its longest common block takes the place of an anchor.
+4. Aligned blocks with at least MIN_WORDS words go from the later document, and their runs wherever else they stand
+   in it. Documents are judged as they came in.
+5. Runs that an earlier document holds, but that no partner's alignment took (as they stand there in another order),
+   are tried with their other holders, in hashed cohorts that grow eightfold, until they are taken or
+   all holders are tried. So the result is that of aligning each document with all earlier ones. Documents of
+   the same lines are tried once, as the earliest of them.
 
 How rare a line is in the whole table bounds nothing here: a document's partners come from its rare and its
 frequent lines alike, since leaving out frequent ones would lose large groups of copies.
@@ -33,6 +40,9 @@ from pyspark.sql import functions as F
 from . import words as W
 
 MIN_WORDS = 5
+#: Holders of a run that are tried after the earliest one; each further cohort is eight times as large.
+COHORT = 4
+_PRIME, _BASE, _POWERS = (1 << 61) - 1, 0x1B873593CC9E2D51, [1]
 
 
 def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -67,24 +77,98 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
                 found.append((p, q))
                 i, k = p + 1, q + 1
             todo.append((i, j, k, m))
+        elif any(x and x in theirs for x in ours):  # all common lines repeat: the longest common block stands for an anchor
+            p, q, n = longest_block(a[i:j], b[k:m])
+            found += [(i + p + x, k + q + x) for x in range(n)]
+            todo += [(i, i + p, k, k + q), (i + p + n, j, k + q + n, m)]
     return sorted(found)
 
 
-def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
-    """Positions in b of aligned blocks with at least so many words; words has those of b's lines."""
-    gone: list[int] = []
-    block: list[int] = []
-    size, last = 0, (-2, -2)
+def longest_block(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """(place in a, place in b, lines) of the longest common block that isn't blank, by a's suffix automaton."""
+    steps, link, length, end, last = [{}], [-1], [0], [-1], 0
+    for p, x in enumerate(a):
+        new, s = len(steps), last
+        steps.append({}), link.append(0), length.append(length[last] + 1), end.append(p)
+        while s >= 0 and x not in steps[s]:
+            steps[s][x] = new
+            s = link[s]
+        if s >= 0:
+            t = steps[s][x]
+            if length[t] > length[s] + 1:
+                old, t = t, len(steps)
+                steps.append(dict(steps[old])), link.append(link[old]), length.append(length[s] + 1), end.append(end[old])
+                while s >= 0 and steps[s].get(x) == old:
+                    steps[s][x] = t
+                    s = link[s]
+                link[old] = t
+            link[new] = t
+        last = new
+    best, s, n, solid = (0, 0, 0), 0, 0, -1
+    for q, x in enumerate(b):
+        solid = q if x else solid
+        while s and x not in steps[s]:
+            s = link[s]
+            n = length[s]
+        if x in steps[s]:
+            s, n = steps[s][x], n + 1
+        if n > best[2] and solid > q - n:
+            best = (end[s] - n + 1, q - n + 1, n)
+    return best
+
+
+def runs(lines: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(first, last, key) of the shortest runs with so many words from each line on and up to each line. Keys are polynomials of the lines."""
+    n, sums, h = len(lines), [0], [0]
+    for x, w in zip(lines, words, strict=True):
+        sums.append(sums[-1] + w)
+        h.append((h[-1] * _BASE + x + (1 << 63) + 1) % _PRIME)
+    while len(_POWERS) <= n:
+        _POWERS.append(_POWERS[-1] * _BASE % _PRIME)
+    spans, e, s = set(), 0, 0
+    for k in range(n):
+        e = max(e, k)
+        while e < n and sums[e + 1] - sums[k] < least:
+            e += 1
+        if e < n:
+            spans.add((k, e))
+        while s < k and sums[k + 1] - sums[s + 1] >= least:
+            s += 1
+        if sums[k + 1] - sums[s] >= least:
+            spans.add((s, k))
+    return [(s, e, (h[e + 1] - h[s] * _POWERS[e + 1 - s]) % _PRIME) for s, e in sorted(spans)]
+
+
+def taken_runs(a: list[int], b: list[int], words: list[int], least: int) -> set[int]:
+    """Keys of b's runs that lie in aligned blocks with at least so many words; words has those of b's lines."""
+    of, block, number, size, last = [0] * len(b), [], 0, 0, (-2, -2)
     for i, k in [*aligned(a, b), (-9, -9)]:
         if (i, k) != (last[0] + 1, last[1] + 1):
-            if size >= least:
-                gone += block
+            if size >= least and block:
+                number += 1
+                of[block[0] : block[-1] + 1] = [number] * len(block)
             block, size = [], 0
         if k >= 0:
             block.append(k)
             size += words[k]
         last = (i, k)
-    return gone
+    return {key for s, e, key in runs(b, words, least) if of[s] and of[s] == of[e]} if number else set()
+
+
+def places(b: list[int], words: list[int], least: int, taken: set[int]) -> list[int]:
+    """Positions of the runs of these keys."""
+    gone: set[int] = set()
+    done = 0
+    for s, e, key in runs(b, words, least) if taken else ():
+        if key in taken:
+            gone.update(range(max(s, done), e + 1))
+            done = max(done, e + 1)
+    return sorted(gone)
+
+
+def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Positions in b of aligned blocks with at least so many words, and of their runs elsewhere in b."""
+    return places(b, words, least, taken_runs(a, b, words, least))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -111,13 +195,25 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, row long, lines array<long>, words array<int>")
 
 
-def _align(least: int):
+def _by_row(out: str, columns: tuple[str, ...], f):
+    """For mapInArrow: doc_id, row and a list of longs or ints that f makes of the columns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = [common_lines(x, y, n, least) for x, y, n in zip(*(b.column(c).to_pylist() for c in ("owner_lines", "lines", "words")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "row", "gone"])
+            made = [f(*x) for x in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", out])
+
+    return run, f"doc_id long, row long, {out} array<long>"
 
-    return run
+
+def _keys(least: int):
+    def keys(lines: list[int], words: list[int]) -> list[int]:
+        """A key of all lines together, below 0, and those of the runs."""
+        if sum(words) < least:
+            return []
+        return [-1 - runs(lines, [0] * (len(lines) - 1) + [1], 1)[0][2], *{key for _, _, key in runs(lines, words, least)}]
+
+    return _by_row("keys", ("lines", "words"), keys)
 
 
 def _cut(names: list[str]):
@@ -138,14 +234,37 @@ def _cut(names: list[str]):
 
 def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs -> its columns, with the text that stays, and n_lines and n_removed."""
-    known = lines_of(docs).checkpoint()
-    each = known.select("doc_id", "row", F.explode(F.array_distinct("lines")).alias("line")).filter("line <> 0")
-    owned = each.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("line", "owner")
-    pairs = each.join(owned, "line").filter("doc_id > owner").select("doc_id", "row", "owner").distinct()
+    known = lines_of(docs).dropDuplicates(["doc_id", "row"]).checkpoint()
+    each = known.mapInArrow(*_keys(min_words)).select("doc_id", "row", F.explode("keys").alias("key"))
+    owned = each.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("key", "owner")
+    shared = each.join(owned, "key").filter("doc_id > owner").select("doc_id", "row", "key", "owner").checkpoint()
     owners = known.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("owner_lines"))
-    both = pairs.join(known, ["doc_id", "row"]).join(owners, F.col("owner") == F.col("owner_id")).select("doc_id", "row", "owner_lines", "lines", "words")
-    gone = both.mapInArrow(_align(min_words), "doc_id long, row long, gone array<int>")
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), F.explode("gone").alias("at")).groupBy("gone_id", "gone_row").agg(F.collect_set("at").alias("gone"))
+    this = ["doc_id", "row"]
+
+    def align(pairs: DataFrame) -> DataFrame:
+        """Keys of the runs that are taken from doc_id, row."""
+        both = pairs.distinct().join(known, this).join(owners, F.col("owner") == F.col("owner_id")).select(*this, "owner_lines", "lines", "words")
+        found = both.mapInArrow(*_by_row("keys", ("owner_lines", "lines", "words"), lambda a, b, w: list(taken_runs(a, b, w, min_words))))
+        return found.select(*this, F.explode("keys").alias("key")).distinct().checkpoint()
+
+    taken = align(shared.select(*this, "owner"))
+    left = shared.filter("key >= 0").join(taken, [*this, "key"], "left_anti").checkpoint()
+    if not left.isEmpty():
+        copies = shared.filter("key < 0").select(*this)
+        holders = each.join(left.select("key").distinct(), "key", "left_semi").join(copies, this, "left_anti").select("key", F.col("doc_id").alias("holder")).distinct().checkpoint()
+        left = left.join(holders.groupBy("key").agg(F.count("*").alias("n")), "key").filter("n > 1")
+        holders = holders.join(left.select("key", "n").distinct(), "key").withColumn("place", F.pmod(F.xxhash64("holder"), F.col("n"))).drop("n").checkpoint()
+        low, high = 0, COHORT
+        while not left.isEmpty():
+            cohort = holders.filter((F.col("place") >= low) & (F.col("place") < high))
+            tried = left.join(cohort, "key").filter("holder < doc_id and holder <> owner").select(*this, F.col("holder").alias("owner"))
+            more = align(tried)
+            taken = taken.union(more)
+            left = left.filter(F.col("n") > high).join(more, [*this, "key"], "left_anti").checkpoint()
+            low, high = high, high * 8
+    gone = taken.groupBy(*this).agg(F.collect_set("key").alias("keys")).join(known, this)
+    gone = gone.mapInArrow(*_by_row("gone", ("lines", "words", "keys"), lambda b, w, keys: places(b, w, min_words, set(keys))))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
     out = docs.select(*names).join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_row")), "left").select(*names, "gone")
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)

@@ -1,0 +1,62 @@
+"""Line dedup against aligning each document with all earlier ones, over repeated and permuted lines."""
+
+import random
+
+import pytest
+
+from cadence.llm import line_dedup as L
+
+
+def all_earlier(rows, least=L.MIN_WORDS):
+    key = lambda x: tuple(x.encode().split())
+    number, out = {}, []
+    code = {d: [number.setdefault(key(x), len(number) + 1) if key(x) else 0 for x in t.split("\n")] for d, t in rows}
+    for d, t in rows:
+        words = [len(key(x)) for x in t.split("\n")]
+        gone = {k for o in code if o < d for k in L.common_lines(code[o], code[d], words, least)}
+        out.append((d, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(words), len(gone)))
+    return sorted(out)
+
+
+def run(docs):
+    return sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in L.remove_common_lines(docs).collect())
+
+
+P = [f"{x} line of the passage number {x}" for x in "abc"]
+
+
+@pytest.mark.parametrize("rows, left", [
+    # twice inside its earliest holder
+    ([(1, ["x", *P, "y", *P, "z"]), (2, ["q", *P, "r"]), (3, ["s", *P, "t"])], {2: ["q", "r"], 3: ["s", "t"]}),
+    # short lines that other documents own each for itself
+    ([(1, ["one a"]), (2, ["two b"]), (3, ["three c"]), (4, ["x", "one a", "two b", "three c"]), (5, ["y", "one a", "two b", "three c", "z"])], {5: ["y", "z"]}),
+    # in another order in the owner, apart from each other in the later documents
+    ([(1, [P[1], "x", P[0]]), (2, [P[0], "y", P[1]]), (3, [P[0], "z", P[1]])], {3: ["z"]}),
+    # twice in the later document
+    ([(1, ["x", *P, "y"]), (2, ["q", *P, "r", *P, "s"])], {2: ["q", "r", "s"]}),
+])
+def test_blocks_that_owners_of_lines_miss(docs_of, rows, left):
+    got = {d: t for d, t, _, _ in run(docs_of([(d, "\n".join(x)) for d, x in rows]))}
+    assert all(got[d] == "\n".join(x) for d, x in left.items())
+
+
+@pytest.mark.parametrize("seed, cohort", [(0, 4), (1, 1), (2, 1)])
+def test_is_all_earlier_documents(docs_of, monkeypatch, seed, cohort):
+    monkeypatch.setattr(L, "COHORT", cohort)
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 8))) for _ in range(14)]
+    rows = [(d, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {d}" for _ in range(rng.randint(1, 14)))) for d in rng.sample(range(500), 90)]
+    assert run(docs_of(rows)) == all_earlier(rows)
+
+
+def test_longest_block_and_runs():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        p, q, n = L.longest_block(a, b)
+        want = max((m for i in range(len(a)) for k in range(len(b)) for m in range(1, 13) if a[i : i + m] == b[k : k + m] and i + m <= len(a) and k + m <= len(b) and any(a[i : i + m])), default=0)
+        assert n == want and a[p : p + n] == b[q : q + n]
+        words = [3 * x for x in a]
+        spans = {(s, e) for s, e, _ in L.runs(a, words, 5)}
+        whole = {(s, e) for s in range(len(a)) for e in range(s, len(a)) if sum(words[s : e + 1]) >= 5}
+        assert spans == {(s, e) for s, e in whole if (s, e - 1) not in whole or (s + 1, e) not in whole}
