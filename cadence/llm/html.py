@@ -9,8 +9,11 @@ reads alike on all pages has importance near 0, and is removed from each page.
 
 What the markup itself declares stands above the tree: elements that are menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts or comments by their tag, role, class or id have
-importance 0 everywhere, and what an <article> (or else <main>) declares as its content has
-importance 1 even where a host repeats it. So a host with one page needs no statistics.
+importance 0 everywhere, so a host with one page needs no statistics. What an <article> (or else <main>)
+declares as its content has a prior importance of DECLARED, to which the tree adds: its blocks go only if nearly
+nothing of them differs between pages. There an element is also judged by itself, with its content, where others stand at the
+same path. Pages of one content count once, titles and parts of sentences, lists and tables are not
+judged, and an article that would lose more than half of its words stays whole.
 
 Cases: null or empty html gives an empty text; a url that is null or has no host belongs to the host
 ''; repeated pages are extracted each for itself; broken markup is read as browsers roughly do
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 GAMMA, LOW = 0.9, 0.3
+#: Least importance of what the markup declares as content, and least words of an element that is judged by itself there.
+DECLARED, LEAST_WORDS = 0.2, 5
 #: A branch is judged if so many pages of its host hold it, and such a share of them.
 LEAST_PAGES, LEAST_SHARE = 5, 0.1
 #: Most (host, path) pairs that are sent to every executor; beyond that, pages and trees are joined by host.
@@ -56,6 +61,8 @@ _ENDS = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
 }
+#: Elements of declared content that the tree judges.
+_JUDGED = frozenset("address blockquote details div dl figure ol p section table ul".split())
 _NOISE_TAGS = frozenset("nav footer aside form button dialog menu head fieldset".split())
 _NOISE_PARTS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead banner footer sidebar aside ad ads advert adverts advertisement sponsor sponsored"
@@ -163,8 +170,8 @@ def roots(top: Node) -> list[Node]:
     return []
 
 
-def text_of(nodes: list[Node], removed: set[int] | frozenset = frozenset(), trusted: bool = True) -> str:
-    """The texts of all blocks below the nodes in page order, without noise and removed paths."""
+def text_of(nodes: list[Node], gone: set[int] | frozenset = frozenset(), trusted: bool = True) -> str:
+    """The texts of all blocks below the nodes in page order, without noise and the nodes in gone (their id())."""
     blocks, run = [], []
 
     def end() -> None:
@@ -182,7 +189,7 @@ def text_of(nodes: list[Node], removed: set[int] | frozenset = frozenset(), trus
             run.append(n)
         elif n.tag == "br":
             run.append(" ")
-        elif n.tag in _RAW or is_noise(n) or n.tag == "header" and not trusted or removed and path_id(n.path) in removed:
+        elif n.tag in _RAW or is_noise(n) or n.tag == "header" and not trusted or id(n) in gone:
             if n.tag in _BLOCK:
                 end()
         elif n.tag in _BLOCK:
@@ -204,27 +211,44 @@ def path_id(path: str) -> int:
 def extract(page: str, removed: set[int] | frozenset = frozenset()) -> str:
     top = parse(page)
     found = roots(top)
-    return text_of(found) if found else text_of([top], removed, False)
-
-
-def branches(page: str) -> dict[str, tuple[int, int]]:
-    """For each path of a page: hashes of the presentation and of the content of all elements at that path."""
-    top = parse(page)
-    order, todo = [], [top]
+    gone = {id(n) for n, marks in marked(top, found)[1] if not removed.isdisjoint(marks)} if removed else frozenset()
+    if not found:
+        return text_of([top], gone, False)
+    whole = text_of(found)
+    rest = text_of(found, gone) if gone else whole
+    return rest if 2 * len(rest.split()) >= len(whole.split()) else whole
+
+
+def marked(top: Node, found: list[Node]) -> tuple[int, list[tuple[Node, tuple[int, ...]]], dict[int, tuple[int, int]]]:
+    """A hash of all content that is read, the judged nodes with their marks, and for each mark hashes of the presentation
+    and of the content of all elements that have it. A mark stands for a path, or for a path and one content."""
+    order, todo = [], list(found or [top])
     while todo:
         n = todo.pop()
         order.append(n)
         todo += [c for c in reversed(n.children) if not isinstance(c, str)]
     content: dict[int, int] = {}
-    looks: dict[str, list[str]] = {}
-    reads: dict[str, list[str]] = {}
+    words: dict[int, int] = {}
+    at: dict[str, list[tuple[Node, str]]] = {}
+    roots_of = {id(n) for n in found}
     for n in reversed(order):
-        parts = [f"<{content.pop(id(c))}>" if not isinstance(c, str) else " ".join(c.split()) for c in n.children]
+        parts = [f"<{content[id(c)]}>" if not isinstance(c, str) else " ".join(c.split()) for c in n.children]
         own = "\x00".join(x for x in parts if x)
         content[id(n)] = path_id(f"{n.tag}\x00{own}")
-        looks.setdefault(n.path, []).append(" ".join(c.tag for c in n.children if not isinstance(c, str)))
-        reads.setdefault(n.path, []).append(own)
-    return {p: (path_id("\x01".join(looks[p])), path_id("\x01".join(reads[p]))) for p in looks}
+        words[id(n)] = sum(words[id(c)] if not isinstance(c, str) else len(c.split()) for c in n.children)
+        if not found or n.tag in _JUDGED and id(n) not in roots_of:
+            at.setdefault(n.path, []).append((n, own))
+    nodes, seen = [], {}
+    for path, those in at.items():
+        mark = path_id(f"={path}" if found else path)
+        seen[mark] = (path_id("\x01".join(" ".join(c.tag for c in n.children if not isinstance(c, str)) for n, _ in those)), path_id("\x01".join(own for _, own in those)))
+        for n, own in those:
+            marks = (mark,)
+            if found and len(those) > 1 and words[id(n)] >= LEAST_WORDS:
+                marks = (mark, path_id(f"={path}\x00{own}"))
+                seen[marks[1]] = (0, 0)
+            nodes.append((n, marks))
+    return path_id("\x01".join(str(content[id(n)]) for n in found or [top])), nodes, seen
 
 
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -247,16 +271,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
             for b in _pages(batch):
                 out = []
                 for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                    host = path_id(host_of(url))
-                    for path, (look, read) in branches(page or "").items():
-                        p = path_id(path)
-                        out += [(host, p, 0, look), (host, p, 1, read)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["host", "path", "kind", "variant"])
-
-    nodes = pages.select("url", "html").mapInArrow(run, "host long, path long, kind int, variant long")
-    variants = nodes.groupBy("host", "path", "kind", "variant").agg(F.count("*").alias("n"))
+                    host, top = path_id(host_of(url)), parse(page or "")
+                    found = roots(top)
+                    body, _, seen = marked(top, found)
+                    for p, (look, read) in seen.items():
+                        out += [(host, body, p, bool(found), 0, look), (host, body, p, bool(found), 1, read)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()), strict=True)], names=["host", "body", "path", "declared", "kind", "variant"])
+
+    nodes = pages.select("url", "html").mapInArrow(run, "host long, body long, path long, declared boolean, kind int, variant long").distinct()  # repeated pages count once
+    variants = nodes.groupBy("host", "path", "declared", "kind", "variant").agg(F.count("*").alias("n"))
     n = F.col("n").cast("double")
-    both = variants.groupBy("host", "path").agg(*(
+    both = variants.groupBy("host", "path", "declared").agg(*(
         x for kind, name in ((0, "look"), (1, "read"))
         for x in (F.sum(F.when(F.col("kind") == kind, F.col("n"))).alias(f"{name}_pages"), F.sum(F.when(F.col("kind") == kind, n * F.log(n))).alias(f"{name}_sum"), F.count_if(F.col("kind") == kind).alias(f"{name}s"))
     ))
@@ -267,7 +292,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
         return F.when(m > 1, F.greatest(F.lit(0.0), (F.log(m) - F.col(f"{name}_sum") / m) / F.log(m))).otherwise(1.0)
 
     fade = F.pow(F.lit(GAMMA), F.col("looks"))
-    return both.select("host", "path", F.col("look_pages").alias("pages"), "looks", ((1 - fade) * entropy("look") + fade * entropy("read")).alias("importance"))
+    prior = F.when(F.col("declared"), DECLARED).otherwise(0.0)
+    return both.select("host", "path", F.col("look_pages").alias("pages"), "looks", (prior + (1 - prior) * ((1 - fade) * entropy("look") + fade * entropy("read"))).alias("importance"))
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
