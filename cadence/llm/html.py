@@ -36,9 +36,9 @@ from . import words as W
 GAMMA, LOW = 0.9, 0.3
 #: Least importance of what the markup declares as content, and least words of an element that is judged by itself there.
 DECLARED, LEAST_WORDS = 0.2, 5
-#: A branch is judged if so many pages of its host hold it, and such a share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.1
-#: Most (host, path) pairs that are sent to every executor; beyond that, pages and trees are joined by host.
+#: A branch is judged if so many pages of its host hold it.
+LEAST_PAGES = 5
+#: Most (host, path) pairs, and pages that lose some, that are sent to every executor; beyond that, they are joined by host and path, and by page.
 BROADCAST_PATHS = 50_000
 
 _TOKEN = re.compile(
@@ -297,15 +297,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def unimportant(tree: DataFrame) -> DataFrame:
-    """host, removed: the paths to remove. A path stands on LEAST_SHARE of the host's pages at least, so a host has a
-    bounded number of them: its pages' mean number of paths over LEAST_SHARE."""
-    size = tree.groupBy(F.col("host").alias("of")).agg(F.max("pages").alias("host_pages"))
-    low = tree.filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).join(size, F.col("host") == F.col("of"))
-    return low.filter(F.col("pages") >= LEAST_SHARE * F.col("host_pages")).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("removed"))
+    """host, path: what is to be removed, however small a share of the host's pages holds it."""
+    return tree.filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).select("host", "path")
 
 
-def main_text(pages: DataFrame, removed: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) and what unimportant() gives -> page_id, url, text, n_chars."""
+def main_text(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) and what unimportant() gives -> page_id, url, text, n_chars.
+
+    Each page is joined with those of its own paths that are to be removed, so no list is longer than a page.
+    The paths of a hot host are joined by host and path, and its pages by their text: no key is the host alone.
+    """
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _pages(batch):
+                out = []
+                for url, page, text in zip(*(b.column(c).to_pylist() for c in ("url", "html", "page_hash")), strict=True):
+                    top, host = parse(page or ""), path_id(host_of(url))
+                    out += [(host, text, p) for p in marked(top, roots(top))[2]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 3)], names=["page_host", "of_hash", "page_path"])
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -320,11 +330,18 @@ def main_text(pages: DataFrame, removed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    known = removed.checkpoint()
-    paths = known.agg(F.sum(F.size("removed"))).first()[0] or 0
-    known = F.broadcast(known) if paths <= BROADCAST_PATHS else known
-    hosted = pages.select("page_id", "url", "html").mapInArrow(hosts, f"page_id {kind}, url string, html string, page_host long")
-    joined = hosted.join(known, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "removed")
+    keyed = pages.select("page_id", "url", "html", F.xxhash64("html").alias("page_hash"))
+    low = low.checkpoint()
+    n = low.count()
+    known = keyed.limit(0).select(F.lit(0).cast("long").alias("host"), F.col("page_hash").alias("hash"), F.array(F.lit(0).cast("long")).alias("removed"))
+    if n:
+        each = keyed.select("url", "html", "page_hash").mapInArrow(paths, "page_host long, of_hash long, page_path long")
+        hit = each.join(F.broadcast(low) if n <= BROADCAST_PATHS else low, (F.col("page_host") == F.col("host")) & (F.col("page_path") == F.col("path")))
+        known = hit.groupBy("host", F.col("of_hash").alias("hash")).agg(F.collect_set("path").alias("removed")).checkpoint()
+        n = known.agg(F.sum(F.size("removed"))).first()[0] or 0
+    known = F.broadcast(known) if n <= BROADCAST_PATHS else known
+    hosted = keyed.mapInArrow(hosts, f"page_id {kind}, url string, html string, page_hash long, page_host long")
+    joined = hosted.join(known, (F.col("page_host") == F.col("host")) & (F.col("page_hash") == F.col("hash")), "left").select("page_id", "url", "html", "removed")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 

@@ -1,5 +1,7 @@
 """The style tree inside declared content and on hot hosts, and names that name no role."""
 
+import pytest
+
 from cadence.llm import html as H
 
 
@@ -18,3 +20,10 @@ def test_repeated_block_inside_article(spark):
     assert got[:8] == [f"Daily\nown story {i} tells of {i} and of more, at such length as stories have" for i in range(8)]
     assert got[8:16] == ["Daily\nown story one tells of one and of more, at such length as stories have\nSign up to hear from us each week"] * 8
     assert got[16:] == [f"the same long tale of many words told again and again\nv{i}" for i in range(8)]
+
+
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_branch_of_a_small_section_of_a_hot_host(spark, monkeypatch, most):
+    monkeypatch.setattr(H, "BROADCAST_PATHS", most)
+    rows = [("hot", f"<p>own {i}</p>" + ("<div class=desk>The same words</div>" if i % 12 == 0 else "")) for i in range(96)]
+    assert texts(spark, rows) == [f"own {i}" for i in range(96)]
