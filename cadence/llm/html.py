@@ -71,16 +71,33 @@ _NOISE_PARTS = frozenset(
 )
 
 
+#: Words that say nothing beside one of a role: share-bar and related-posts are roles, related-work and has-sidebar are not.
+_BESIDE = frozenset(
+    "bar bars list lists box boxes block blocks area section container wrapper wrap inner outer holder panel item items link links post posts article articles"
+    " button buttons icons form left right top bottom primary secondary main site page global header content text slot unit row col column group media".split()
+)
+#: Elements whose class or id may name a role; headings, paragraphs and parts of sentences may not.
+_NAMED = frozenset("div section ul ol dl li span table td article".split())
+
+
+def names_role(name: str, attribute: str) -> bool:
+    """Whether the whole of a class, id or role names what is no content; a class may also begin with ad-."""
+    parts = [x for x in _PART.findall(name) if not x.isdigit()]
+    known = [x in _NOISE_PARTS for x in parts]
+    return any(known) and all(k or x in _BESIDE for k, x in zip(known, parts, strict=True)) or attribute == "class" and parts[:1] in (["ad"], ["ads"])
+
+
 class Node:
-    __slots__ = ("tag", "names", "hidden", "parent", "children", "path")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "path")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children, names, self.hidden = tag, parent, [], [], False
+        self.tag, self.parent, self.children, names, self.hidden, self.role = tag, parent, [], [], False, False
         if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id", "role"):
                     names += _PART.findall(value)
+                    self.role = self.role or any(names_role(x, name if tag != "article" else "") for x in value.split())
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                     self.hidden = True
         self.names = tuple(names)
@@ -145,28 +162,32 @@ def _close(stack: list[Node], kinds: tuple[str, ...], scope: tuple[str, ...]) ->
         del stack[last:]
 
 
-def is_noise(node: Node) -> bool:
-    """By what the element says of itself. Names of many parts count by each part, but not those of the whole page."""
-    return node.tag in _NOISE_TAGS or node.hidden or (node.tag not in ("html", "body", "article", "main", "h1") and not _NOISE_PARTS.isdisjoint(node.names)) or (node.tag == "article" and not _COMMENT.isdisjoint(node.names))
+def is_noise(node: Node, named: bool = True) -> bool:
+    """By what the element says of itself; by its class, id or role only if named."""
+    if node.tag in _NOISE_TAGS or node.hidden:
+        return True
+    return named and node.tag in _NAMED and node.role and (node.tag != "article" or not _COMMENT.isdisjoint(node.names))
 
 
 _COMMENT = frozenset("comment comments reply related sponsored ad advert promo".split())
 
 
 def roots(top: Node) -> list[Node]:
-    """The outermost <article> elements, or else what is declared as main, that lie in no noise; none if neither is there."""
-    for declared in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.names and n.tag in ("div", "section")):
-        found, todo = [], [top]
-        while todo:
-            n = todo.pop()
-            if is_noise(n) or n.tag == "header":
-                continue
-            if declared(n):
-                found.append(n)
-            else:
-                todo += [c for c in reversed(n.children) if not isinstance(c, str)]
-        if found:
-            return found
+    """The outermost <article> elements, or else what is declared as main, that lie in no noise; none if neither is there.
+    Names of roles don't count for what holds the only ones."""
+    for named in (True, False):
+        for declared in (lambda n: n.tag == "article", lambda n: n.tag == "main" or "main" in n.names and n.tag in ("div", "section")):
+            found, todo = [], [top]
+            while todo:
+                n = todo.pop()
+                if is_noise(n, named or n.tag == "article") or n.tag == "header":
+                    continue
+                if declared(n):
+                    found.append(n)
+                else:
+                    todo += [c for c in reversed(n.children) if not isinstance(c, str)]
+            if found:
+                return found
     return []
 
 
@@ -189,7 +210,7 @@ def text_of(nodes: list[Node], gone: set[int] | frozenset = frozenset(), trusted
             run.append(n)
         elif n.tag == "br":
             run.append(" ")
-        elif n.tag in _RAW or is_noise(n) or n.tag == "header" and not trusted or id(n) in gone:
+        elif n.tag in _RAW or is_noise(n, n not in nodes) or n.tag == "header" and not trusted or id(n) in gone:
             if n.tag in _BLOCK:
                 end()
         elif n.tag in _BLOCK:

@@ -27,3 +27,13 @@ def test_branch_of_a_small_section_of_a_hot_host(spark, monkeypatch, most):
     monkeypatch.setattr(H, "BROADCAST_PATHS", most)
     rows = [("hot", f"<p>own {i}</p>" + ("<div class=desk>The same words</div>" if i % 12 == 0 else "")) for i in range(96)]
     assert texts(spark, rows) == [f"own {i}" for i in range(96)]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><h2 id='related-work'>Related work</h2><section id='search-algorithms'>Trees</section><p class='reply'>Yes</p></article>", "Related work\nTrees\nYes"),
+    ("<div class='layout has-sidebar'><article>a</article><div class='sidebar'>s</div></div>", "a"),
+    ("<div class='sidebar widget'><article>a</article></div>", "a"), ("<div class='has-sidebar'><p>x</p><div class='related-posts'>r</div></div>", "x"),
+    ("<aside><article>no</article></aside><div class=widget><article>teaser</article></div><main>x</main>", "x"),
+])
+def test_names(page, text):
+    assert H.extract(page) == text
