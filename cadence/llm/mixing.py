@@ -11,7 +11,7 @@ a sum over the parts of a large (source, size) group, and a rank inside one part
 
 Cases: a null source is a source of its own, after all others; null or empty texts
 have size 0, take part, and add no words; a source of size 0 has target 0; rows that
-repeat are mixed each for itself; a table without rows gives no rows; columns beside
+repeat, in their id or whole, and rows without an id are mixed and emitted each for itself; a table without rows gives no rows; columns beside
 the two that are read don't matter, whatever their names.
 """
 
@@ -59,8 +59,8 @@ def offset_of(source: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, part_rows: int = PART_ROWS) -> DataFrame:
-    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, copies: one row per row of docs."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).checkpoint()  # the texts are read once
+    """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, copies, row (a hash of the text): one row per row of docs."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")).checkpoint()  # the texts are read once
     groups = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     running = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     sources = targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
@@ -78,20 +78,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     parts = parts.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("s", "z").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # few groups have more than one part: the ranks of all others need no second look at them
     placed = placed.join(parts.filter("p > 0 and earlier > 0").drop("n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")), "left")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.col("doc_id").asc_nulls_first()))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.col("doc_id").asc_nulls_first(), "row"))
     at = F.col("before") + F.coalesce(F.col("earlier"), F.lit(0)) + rank
     copies = F.floor(at * F.col("rate") + F.col("u")) - F.floor((at - 1) * F.col("rate") + F.col("u"))
     return (
         placed.withColumn("u", offset_of(F.col("source"), seed)).withColumn("copies", copies.cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", "row")
     )
 
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as mix() says. docs has one row per doc_id."""
-    copies = mixed.filter("copies > 0").select("doc_id", "copies")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
-    out = rows.join(copies, F.col("kept.doc_id").eqNullSafe(F.col("doc_id")))
+    """The rows of docs, each as often as mix() says: rows of one id, source and text are counted on both sides, and joined one to one."""
+    key = ["doc_id", "source", "row"]
+    copies = mixed.select(*key, "copies", F.row_number().over(Window.partitionBy(*key).orderBy("copies")).alias("nth")).filter("copies > 0")
+    kept = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(kept.alias("kept"), F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"), F.xxhash64("text").alias("its_row"))
+    rows = rows.withColumn("its_nth", F.row_number().over(Window.partitionBy("its_id", "its_source", "its_row").orderBy(F.xxhash64("kept"))))
+    same = F.col("its_id").eqNullSafe(F.col("doc_id")) & F.col("its_source").eqNullSafe(F.col("source"))
+    out = rows.join(copies, same & (F.col("its_row") == F.col("row")) & (F.col("its_nth") == F.col("nth")))
     return out.select("kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("kept.*")
 
 

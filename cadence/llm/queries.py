@@ -27,7 +27,7 @@ def op1_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
