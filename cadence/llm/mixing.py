@@ -7,7 +7,8 @@ its stretch of the running sum crosses. As documents of like size stand together
 the words taken come within about one long document of the target.
 
 The running sum is never taken in one task: it is made of a sum over (source, size),
-a sum over the parts of a large (source, size) group, and a rank inside one part.
+a sum over the parts of a large (source, size) group, and a rank inside one part. Parts are ranges
+of ids, and of hashes for rows without one, so the order is size, id (nulls last) at every size.
 
 Cases: a null source is a source of its own, after all others; null or empty texts
 have size 0, take part, and add no words; a source of size 0 has target 0; rows that
@@ -61,7 +62,7 @@ def offset_of(source: Column, seed: str) -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, part_rows: int = PART_ROWS) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, copies, row (a hash of the text): one row per row of docs."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")).checkpoint()  # the texts are read once
-    groups = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
+    groups = sized.groupBy("source", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     running = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     sources = targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -71,14 +72,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         .join(sources.withColumn("rate", rate).withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")))
         .drop("its", "n")
     )
-    g = groups.select(F.col("source").alias("s"), F.col("size").alias("z"), "before", "parts", "source_size", "target", "rate")
+    g = groups.select(F.col("source").alias("s"), F.col("size").alias("z"), "before", "parts", "least", "most", "source_size", "target", "rate")
     placed = sized.join(g, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    placed = placed.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("parts")))
+    # both grow with what they order by, whatever is lost in doubles
+    of_id = (F.col("doc_id").cast("double") - F.col("least").cast("double")) / (F.col("most").cast("double") - F.col("least").cast("double") + 1)
+    of_row = F.col("row").cast("double") / 2.0**64 + 0.5
+    share = F.when(F.col("doc_id").isNotNull(), of_id * F.col("parts")).otherwise(F.col("parts") + of_row * F.col("parts"))
+    placed = placed.withColumn("part", F.floor(share).cast("long"))
     parts = placed.groupBy(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
     parts = parts.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("s", "z").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # few groups have more than one part: the ranks of all others need no second look at them
     placed = placed.join(parts.filter("p > 0 and earlier > 0").drop("n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")), "left")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.col("doc_id").asc_nulls_first(), "row"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
     at = F.col("before") + F.coalesce(F.col("earlier"), F.lit(0)) + rank
     copies = F.floor(at * F.col("rate") + F.col("u")) - F.floor((at - 1) * F.col("rate") + F.col("u"))
     return (

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import duckdb
+
 from cadence.llm import mixing
 
 
@@ -16,3 +18,14 @@ def test_rows_are_emitted_one_by_one(docs_of):
     for r in m:
         want[r.doc_id, r.source, r.size] += r.copies
     assert got == +want and sum(got.values()) <= 2 * len(rows)
+
+
+def test_order_is_that_of_the_sql(docs_of):
+    rows = [(i * i % 1009, "" if i % 3 == 0 else "w " * (i % 2 + 1), f"s{i % 2}") for i in range(300)] + [(None, "w", "s1")]
+    docs = docs_of(rows).dropDuplicates(["doc_id"])
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, ?)", [list(r) for r in docs.select("doc_id", "text", "source").collect()])
+    want = sorted(c.sql(f"SELECT doc_id, size, copies FROM ({mixing.ORACLE_SQL})").fetchall(), key=str)
+    for part_rows in (3, 50_000):
+        assert sorted(((r.doc_id, r.size, r.copies) for r in mixing.mix(docs, part_rows=part_rows).collect()), key=str) == want
