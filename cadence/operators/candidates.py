@@ -81,13 +81,17 @@ def quota(rows: DataFrame, target: int, label: str, order: list[Column | str]) -
 
 
 def sample_by_label(rows: DataFrame, n: int, eligible_if: Column, reason: Column, key: str = "video_id", label: str = "label", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """n eligible rows per label in seeded order, and the rows that came before the last of these but weren't eligible."""
-    order = Window.partitionBy(label).orderBy(seeded_order(F.col(key), seed), key)
-    good = F.coalesce(eligible_if, F.lit(False))
-    ranked = rows.withColumn("_good", good).withColumn("_taken", F.sum(F.col("_good").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = ranked.filter(F.col("_good") & (F.col("_taken") <= n)).drop("_good", "_taken")
-    skipped = ranked.filter(~F.col("_good") & (F.col("_taken") < n)).drop("_good", "_taken").withColumn("reason", reason)
-    return chosen, skipped
+    """n eligible rows per label in seeded order, and the rows that came before the last of these but weren't eligible.
+
+    Only the first n eligible rows of each label are ranked; the others are compared with the last of them.
+    """
+    good, at = F.coalesce(eligible_if, F.lit(False)), F.struct(seeded_order(F.col(key), seed).alias("place"), F.col(key).alias("key"))
+    marked = rows.withColumn("_good", good).withColumn("_at", at)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_at"))
+    ranked = marked.filter("_good").withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    last = ranked.filter(F.col("_rank") == n).select(F.col(label).alias("_label"), F.col("_at").alias("_last"))
+    before = marked.filter("not _good").join(last, F.col(label).eqNullSafe(F.col("_label")), "left").filter("_last is null or _at < _last")
+    return ranked.drop("_good", "_at", "_rank"), before.drop("_good", "_at", "_label", "_last").withColumn("reason", reason)
 
 
 def collection_progress(checked: DataFrame, candidate_count: int | Column) -> DataFrame:

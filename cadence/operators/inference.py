@@ -2,50 +2,90 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Models of this worker: the main one, and the last one that belongs to a language.
+Load = Callable[[], Any]
+Transcribe = Callable[[Any, Any, dict, int], dict]
+TranscribeMany = Callable[[Any, Any, list[dict], int], list[dict]]
+
+#: Models of this worker process: the main one of each name, and the last one that belongs to a language.
 _models: dict[str, Any] = {}
 
 
+def model_of(name: str, load: Load) -> Any:
+    """The worker's model of this name, loaded when it is first asked for."""
+    if name not in _models:
+        _models[name] = load()
+    return _models[name]
+
+
+def aligner_of(name: str, language: str, load: Callable[[str], Any]) -> Any:
+    have = _models.get(f"{name}/aligner")
+    if have is None or have[0] != language:
+        _models.pop(f"{name}/aligner", None)  # the old one goes before the new one is loaded
+        _models[f"{name}/aligner"] = have = (language, load(language))
+    return have[1]
+
+
+def _one(name: str, load: Load, load_aligner: Callable[[str], Any] | None, transcribe: Transcribe, row: dict, batch_size: int) -> dict:
+    try:
+        aligner = aligner_of(name, row["language"], load_aligner) if load_aligner else None
+        given = transcribe(model_of(name, load), aligner, row, batch_size)
+        if given is None:
+            raise ValueError("no output")
+        return {"status": "completed", "error": None} | given
+    except Exception as e:  # noqa: BLE001  one recording must not end the others
+        return {"status": "failed", "error": f"{type(e).__name__}: {e}"}
+
+
+def work_on(rows: list[dict], name: str, load: Load, load_aligner: Callable[[str], Any] | None, transcribe: Transcribe, many: TranscribeMany | None, batch_size: int) -> list[dict]:
+    """Outcomes of rows of one language. If they go to the model together and that fails, each goes by itself."""
+    if many and len(rows) > 1:
+        try:
+            aligner = aligner_of(name, rows[0]["language"], load_aligner) if load_aligner else None
+            given = many(model_of(name, load), aligner, rows, batch_size)
+            if len(given) == len(rows) and all(x is not None for x in given):
+                return [{"status": "completed", "error": None} | x for x in given]
+        except Exception:  # noqa: BLE001, S110  the rows are tried one by one below, and their own errors kept
+            pass
+    return [_one(name, load, load_aligner, transcribe, row, batch_size) for row in rows]
+
+
 def map_recordings(
-    recordings: DataFrame, load: Callable[[], Any], transcribe: Callable[[Any, Any, dict, int], dict], schema: str,
-    load_aligner: Callable[[str], Any] | None = None, batch_size: int = 4, name: str = "model",
+    recordings: DataFrame, load: Load, transcribe: Transcribe, schema: str,
+    load_aligner: Callable[[str], Any] | None = None, batch_size: int = 4, name: str = "model", many: TranscribeMany | None = None,
 ) -> DataFrame:
     """recordings(recording_id, language, ...) -> the fields of ``schema``, recording_id, status and error.
 
-    ``load`` runs once per worker, ``load_aligner`` when the language changes; rows come sorted by language, so that is seldom.
-    ``transcribe(model, aligner, row, batch_size)`` gives a dict of the schema's fields. An exception, or None, fails that
-    recording alone. Large languages spread over partitions by a second key.
+    ``load`` runs once per worker process, whatever number of tasks it works through; ``load_aligner`` when the language
+    changes; rows come sorted by language, so that is seldom. Another ``load`` under the same name is another model.
+    ``transcribe(model, aligner, row, batch_size)`` gives a dict of the schema's fields; batch_size is for the model's own use
+    within a recording. ``many(model, aligner, rows, batch_size)`` gives one dict for each of up to batch_size rows of one
+    language. An exception, or None, fails that recording alone. Large languages spread over partitions by a second key.
     """
     fields = [x.split()[0].strip("`") for x in schema.split(", ")]
+    name = f"{name}/{hashlib.sha256(cloudpickle.dumps((load, load_aligner))).hexdigest()[:16]}"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from cadence.operators import inference as own  # the module of this worker, with its models, not a copy of them
+
         for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
-                made: dict = {"recording_id": row["recording_id"], "status": "completed", "error": None}
-                try:
-                    if name not in _models:
-                        _models[name] = load()
-                    aligner = None
-                    if load_aligner:
-                        have = _models.get(f"{name}/aligner")
-                        if have is None or have[0] != row["language"]:
-                            _models[f"{name}/aligner"] = have = (row["language"], load_aligner(row["language"]))
-                        aligner = have[1]
-                    given = transcribe(_models[name], aligner, row, batch_size)
-                    if given is None:
-                        raise ValueError("no output")
-                    made |= given
-                except Exception as e:  # noqa: BLE001  one recording must not end the others
-                    made |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}
-                out.append(made)
+            out, rows = [], frame.to_dict("records")
+            at = 0
+            while at < len(rows):
+                to = at + 1
+                while many and to < len(rows) and to - at < batch_size and rows[to]["language"] == rows[at]["language"]:
+                    to += 1
+                made = own.work_on(rows[at:to], name, load, load_aligner, transcribe, many, batch_size)
+                out += [{"recording_id": r["recording_id"]} | m for r, m in zip(rows[at:to], made, strict=True)]
+                at = to
             yield pd.DataFrame(out, columns=["recording_id", *fields, "status", "error"])
 
     kind = recordings.schema["recording_id"].dataType.simpleString()

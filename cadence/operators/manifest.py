@@ -10,12 +10,19 @@ from cadence.functions import text as T
 MARKER = r"(?i)^#\s*LABEL:\s*([A-Z_]+)"
 
 
-def section_label(lines: DataFrame, by: str = "file") -> DataFrame:
-    """lines(file, line_no, line) with raw_label (the last marker at or above the line) and is_marker."""
+def section_label(lines: DataFrame, by: str = "file", part_lines: int = 100_000) -> DataFrame:
+    """lines(file, line_no, line) with raw_label (the last marker at or above the line) and is_marker.
+
+    A file's lines are looked at in parts of so many line numbers; the last marker of the parts above is handed on to each.
+    """
     text = T.clean(F.regexp_replace("line", "^﻿", ""))
-    marked = lines.withColumn("line", text).withColumn("own", F.nullif(F.regexp_extract("line", MARKER, 1), F.lit("")))
-    above = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("raw_label", F.last("own", ignorenulls=True).over(above)).withColumn("is_marker", F.col("own").isNotNull()).drop("own")
+    marked = lines.withColumn("line", text).withColumn("own", F.nullif(F.regexp_extract("line", MARKER, 1), F.lit(""))).withColumn("_part", F.floor(F.col("line_no") / part_lines))
+    last = marked.filter("own is not null").groupBy(by, "_part").agg(F.max_by("own", "line_no").alias("_last"))
+    parts = marked.select(by, "_part").distinct().join(last, [by, "_part"], "left")
+    handed = F.last("_last", ignorenulls=True).over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    above = Window.partitionBy(by, "_part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.withColumn("_own_part", F.last("own", ignorenulls=True).over(above)).join(parts.select(by, "_part", handed.alias("_handed")), [by, "_part"])
+    return inside.withColumn("raw_label", F.coalesce("_own_part", "_handed")).withColumn("is_marker", F.col("own").isNotNull()).drop("own", "_part", "_own_part", "_handed")
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -90,8 +97,19 @@ def shards_complete_disjoint(entries: DataFrame, count: int) -> DataFrame:
     union = shard(entries, count, 0)
     for i in range(1, count):
         union = union.unionAll(shard(entries, count, i))
-    missing = entries.exceptAll(union).agg(F.count("*").alias("missing"))
-    return missing.crossJoin(union.exceptAll(entries).agg(F.count("*").alias("extra")))
+    return compare_rows(entries, union)
+
+
+def compare_rows(whole: DataFrame, parts: DataFrame) -> DataFrame:
+    """missing, extra: how many rows of whole the parts lack, and how many they have too much; repeated rows count. One exchange for both."""
+    both = whole.withColumn("_n", F.lit(1)).unionByName(parts.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*whole.columns).agg(F.sum("_n").alias("_n"))
+    return left.agg(F.coalesce(F.sum(F.greatest("_n", F.lit(0))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.greatest(-F.col("_n"), F.lit(0))), F.lit(0)).alias("extra"))
+
+
+def shard_sizes(entries: DataFrame, count: int) -> DataFrame:
+    """shard, n, index_sum: what each shard holds, in one pass."""
+    return entries.groupBy(shard_of(F.col("manifest_index"), count).alias("shard")).agg(F.count("*").alias("n"), F.sum("manifest_index").alias("index_sum"))
 
 
 def cross_label_overlap(entries: DataFrame) -> DataFrame:

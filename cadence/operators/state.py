@@ -101,26 +101,26 @@ def fold_progress(events: DataFrame, job: str = "job_id") -> DataFrame:
 
 
 def lifecycle(events: DataFrame, job: str = "job_id") -> DataFrame:
-    """Each job's state after its events (seq, ts, kind, stage) in order.
+    """Each job's state after its events (seq, ts, kind, stage) in the order of (ts, seq), whenever they come.
 
     started: processing, one more attempt, no error; completed and failed end an attempt; progress moves the stage of a job
-    that is under way; queued, or any other kind, puts it back. Both forms (this and the stream's) fold with ``step``.
+    that is under way; queued, or any other kind, puts it back. What counts is the last event that isn't progress, the last
+    progress after it, and the last that starts or ends an attempt: a few values a job, which a stream can keep as well.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "kind", "stage")))
-    zero = F.struct(F.lit("queued").alias("status"), F.lit("waiting").alias("stage"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("n_events"))
-    return events.groupBy(job).agg(ordered.alias("_all")).select(job, F.aggregate("_all", zero, step).alias("_s")).select(job, "_s.*")
-
-
-def step(s: Column, e: Column) -> Column:
-    kind = e["kind"]
-    under_way = s["status"] == "processing"
-    return F.struct(
-        F.when(kind == "started", "processing").when(kind.isin("completed", "failed"), kind).when(kind == "progress", s["status"]).otherwise("queued").alias("status"),
-        F.when(kind == "started", "initializing").when(kind == "completed", "finished").when(kind.isin("failed", "progress") & (under_way | (kind == "failed")), e["stage"])
-        .when(kind.isin("failed", "progress"), s["stage"]).otherwise("waiting").alias("stage"),
-        (s["attempts"] + F.when(kind == "started", 1).otherwise(0)).alias("attempts"),
-        F.when(kind == "failed", F.concat(F.lit("failed in "), e["stage"])).when(kind.isin("started", "completed"), F.lit(None).cast("string")).otherwise(s["error"]).alias("error"),
-        (s["n_events"] + 1).alias("n_events"),
+    kind, e = F.col("kind"), F.struct("ts", "seq", "kind", "stage")
+    progress = F.coalesce(kind == "progress", F.lit(False))
+    folded = events.groupBy(job).agg(
+        F.max(F.when(~progress, e)).alias("fixed"), F.max(F.when(progress, e)).alias("moved"), F.max(F.when(kind.isin("started", "completed", "failed"), e)).alias("ended"),
+        F.count_if(kind == "started").alias("attempts"), F.count("*").alias("n_events"),
+    )
+    last = F.col("fixed.kind")
+    stage = (
+        F.when(last == "started", F.when(F.coalesce(F.col("moved") > F.col("fixed"), F.lit(False)), F.col("moved.stage")).otherwise("initializing"))
+        .when(last == "completed", "finished").when(last == "failed", F.col("fixed.stage")).otherwise("waiting")
+    )
+    return folded.select(
+        job, F.when(last == "started", "processing").when(last.isin("completed", "failed"), last).otherwise("queued").alias("status"), stage.alias("stage"), "attempts",
+        F.when(F.col("ended.kind") == "failed", F.concat(F.lit("failed in "), F.col("ended.stage"))).alias("error"), "n_events",
     )
 
 

@@ -6,9 +6,9 @@ version or the new one. The pointers are rows of a small append-only table; the
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 SCHEMA_VERSION = 1
 
@@ -16,8 +16,10 @@ SCHEMA_VERSION = 1
 def current_version(spark: SparkSession, path: str) -> int:
     try:
         return spark.read.schema("version long, schema_version int").parquet(f"{path}/pointers").agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
-        return 0
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame | None:

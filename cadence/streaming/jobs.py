@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from cadence.operators import state as S
 
@@ -14,6 +17,12 @@ def fold_progress(events: DataFrame, job: str = "job_id") -> DataFrame:
     return S.fold_progress(events, job)
 
 
+def lifecycle_updates(events: DataFrame, job: str = "job_id") -> DataFrame:
+    """The lifecycle of each job in complete or update mode, whatever order the events come in: the state is three
+    events and two counts per job, however many events it has."""
+    return S.lifecycle(events, job)
+
+
 def admit_jobs(requests: DataFrame) -> DataFrame:
     """Stateless: accepted and rejected requests, each with its id or reason."""
     return S.admit(requests)
@@ -21,40 +30,55 @@ def admit_jobs(requests: DataFrame) -> DataFrame:
 
 def process_incrementally(
     items: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], state_path: str, checkpoint: str, stop_on_error: bool = False,
+    outputs: Callable[[], DataFrame] | None = None,
 ) -> None:
     """Runs ``work`` (a batch of items -> key, status, ...) over all items of the stream that aren't done yet, then ends.
 
-    Each batch leaves its outcomes under its own number, so a batch that runs again after a crash replaces what
-    it wrote; items that are completed there are not worked on again.
+    The state is what is done by key, not by batch: each run of a batch adds a folder of its own and none is overwritten, so
+    neither a crash nor a new stream checkpoint loses or repeats finished work. Items that failed are tried
+    again when they come again. ``outputs`` gives the keys whose results exist: completed items without one are worked on again.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if done := _completed(spark, state_path, key, number):
-            fresh = fresh.join(done, key, "left_anti")
-        work(fresh).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        if stop_on_error and spark.read.parquet(f"{state_path}/batch={number}").filter("status = 'failed'").limit(1).count():
+        fresh, done = batch.dropDuplicates([key]), completed(spark, state_path, key)
+        if done is not None:
+            there = done.join(outputs().select(key).distinct(), key, "left_semi") if outputs else done
+            fresh = fresh.join(there, key, "left_anti")
+        folder = f"{state_path}/run={uuid.uuid4().hex}/batch={number}"
+        work(fresh).write.parquet(folder)
+        if stop_on_error and spark.read.parquet(folder).filter("status = 'failed'").limit(1).count():
             raise RuntimeError(f"a job of batch {number} failed")
 
     items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _completed(spark: SparkSession, path: str, key: str, before: int) -> DataFrame | None:
-    """Keys that earlier batches completed."""
-    folders = [f"{path}/batch={n}" for n in range(before)]
-    return spark.read.parquet(*folders).filter("status = 'completed'").select(key).distinct() if folders else None
+def completed(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """Keys that any run completed; None before the first one."""
+    try:
+        return spark.read.parquet(path).filter("status = 'completed'").select(key).distinct()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def run_to_table(rows: DataFrame, path: str, checkpoint: str, key: str | None = None) -> DataFrame:
+    """All that is there now, through a stream, as a table in the folder: of each key what the last batch says of it, or, without a
+    key (rows that have no state), all rows. A batch that runs again replaces what it wrote."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows.writeStream.outputMode("update" if key else "append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    out = rows.sparkSession.read.parquet(path)
+    if key:
+        out = out.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.col("batch").desc()))).filter("_last = 1")
+    return out.select(*rows.columns)
 
 
 def run_to_memory(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, folded by a stream into an in-memory table: for tests and small state tables."""
+    """All that is there now, folded by a stream into an in-memory table: for tests."""
     query = rows.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return rows.sparkSession.table(name)
-
-
-def lifecycle_updates(events: DataFrame, job: str = "job_id") -> DataFrame:
-    """The lifecycle of each job as a stream in complete or update mode: events are few per job, and fold in order of
-    (ts, seq) whenever they come."""
-    return S.lifecycle(events, job)
-
