@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Frames of a recording, four a second, for each of its words.
@@ -21,6 +21,11 @@ class Inputs:
         rows, cores = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), self.spark.sparkContext.defaultParallelism
         return rows.repartition(cores) if name in ("documents", "conversations") and rows.rdd.getNumPartitions() <= cores else rows
 
+    @staticmethod
+    def of_three(name: str) -> Column:
+        """An id that three neighbouring rows share."""
+        return (F.col(name) - F.pmod(F.col(name), F.lit(3))).cast("string")
+
     def recordings(self) -> DataFrame:
         label = F.when(F.col("doc_id") % 2 == 0, "kids").otherwise("normal")
         return self.table("documents").select(F.col("doc_id").alias("recording_id"), label.alias("label"), F.concat(F.lit("https://youtu.be/d"), F.col("doc_id").cast("string")).alias("source_url"), F.col("lang").alias("language"))
@@ -55,25 +60,27 @@ class Inputs:
         pages = self.table("pages").select("page_id")
         marker = F.when(F.col("page_id") % 100 == 0, "# LABEL: YOUTUBE_KIDS").otherwise("# label: normal")
         marks = pages.filter("page_id % 50 = 0").select((2 * F.col("page_id")).alias("line_no"), marker.alias("line"))
-        urls = pages.select((2 * F.col("page_id") + 1).alias("line_no"), F.concat(F.lit("  https://youtu.be/v"), (F.col("page_id") % 180).cast("string"), F.lit(" ")).alias("line"))
-        return marks.unionByName(urls).withColumn("file", F.lit("manifest"))
+        urls = pages.select((2 * F.col("page_id") + 1).alias("line_no"), F.concat(F.lit("  https://youtu.be/v"), self.of_three("page_id"), F.lit(" ")).alias("line"))
+        # a file for each hundred pages; their names sort as their lines do
+        return marks.unionByName(urls).withColumn("file", F.concat(F.lit("manifest-"), F.lpad(F.floor(F.col("line_no") / 200).cast("string"), 12, "0")))
 
     def found(self) -> DataFrame:
         source = F.when(F.col("doc_id") % 2 == 0, "youtube_kids").otherwise("youtube")
         return self.table("documents").select(
-            F.col("doc_id").alias("rank"), source.alias("source"), F.concat(F.lit("v"), (F.col("doc_id") % 301).cast("string")).alias("video_id"),
-            F.substring("text", 1, 60).alias("title"), F.col("source").alias("channel"), (F.col("n_chars") % 900).alias("duration"), F.lit("").alias("url"),
+            F.col("doc_id").alias("rank"), source.alias("source"), F.concat(F.lit("v"), self.of_three("doc_id")).alias("video_id"),
+            F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("channel"), (F.col("n_chars") % 900).alias("duration"), F.lit("").alias("url"),
         )
 
     def metadata(self) -> DataFrame:
-        d = self.table("documents").groupBy((F.col("doc_id") % 301).alias("v")).agg(F.min_by(F.struct("doc_id", "lang", "n_chars", "text"), "doc_id").alias("d")).select("v", "d.*")
+        own = F.struct("doc_id", "lang", "n_chars", F.substring_index("text", "\n", 1).alias("line"))
+        d = self.table("documents").groupBy(self.of_three("doc_id").alias("v")).agg(F.min_by(own, "doc_id").alias("d")).select("v", "d.*")
         audio = F.when(F.col("doc_id") % 11 == 0, "none").otherwise("mp4a")
         return d.select(
-            F.concat(F.lit("v"), F.col("v").cast("string")).alias("video_id"),
+            F.concat(F.lit("v"), "v").alias("video_id"),
             F.when(F.col("doc_id") % 17 == 0, "private").when(F.col("doc_id") % 5 != 0, "public").alias("availability"),
             F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("language"), (F.col("n_chars") % 900).alias("duration"),
             F.array(F.struct(F.lit("https://media").alias("url"), audio.alias("acodec"))).alias("formats"),
-            F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("T"), F.substring("text", 1, 20))).alias("title"), F.lit("").alias("channel"),
+            F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("T"), "line")).alias("title"), F.lit("").alias("channel"),
         )
 
     def job_state(self) -> DataFrame:
@@ -101,9 +108,9 @@ class Inputs:
         stage = F.element_at(F.array(*map(F.lit, ("download", "vocal_isolation", "transcription_alignment", "prosody_analysis"))), (F.col("event_id") % 4 + 1).cast("int"))
         return e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"), stage.alias("stage"))
 
-    def requests(self) -> DataFrame:
+    def requests(self, events: DataFrame | None = None) -> DataFrame:
         u = F.col("user_id")
-        return self.table("events").select(
+        return (self.table("events") if events is None else events).select(
             F.col("event_id").alias("request_no"), F.concat(F.when(u % 9 == 0, "https://example.com/").otherwise("https://youtu.be/"), u.cast("string")).alias("url"),
             F.when(F.col("event_id") % 7 == 0, "other").when(u % 2 == 0, "kids").otherwise("normal").alias("label"),
             F.when(F.col("event_id") % 11 == 0, "phone").when(u % 3 == 0, "word").otherwise("both").alias("granularity"),

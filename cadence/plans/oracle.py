@@ -45,20 +45,20 @@ sound AS (SELECT conv_id AS recording_id, turn, word_pos, word, CAST(200 * turn
   FROM tt WHERE (turn + word_pos) % 19 <> 0 AND (turn + word_pos) % 13 <> 0 AND (turn + word_pos) % 17 <> 0),
 usable AS (SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY turn, word_pos) - 1 AS pos, word, start_sec, end_sec FROM sound)"""
 LINES = """
-ml AS (SELECT 2 * page_id AS line_no, CASE WHEN page_id % 100 = 0 THEN 'kids' ELSE 'normal' END AS marker, NULL AS url FROM pages WHERE page_id % 50 = 0
-  UNION ALL SELECT 2 * page_id + 1, NULL, 'https://youtu.be/v' || CAST(page_id % 180 AS VARCHAR) FROM pages),
-sec AS (SELECT *, last_value(marker IGNORE NULLS) OVER (ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM ml),
+ml AS (SELECT page_id // 100 AS file, 2 * page_id AS line_no, CASE WHEN page_id % 100 = 0 THEN 'kids' ELSE 'normal' END AS marker, NULL AS url FROM pages WHERE page_id % 50 = 0
+  UNION ALL SELECT page_id // 100, 2 * page_id + 1, NULL, 'https://youtu.be/v' || CAST(page_id - page_id % 3 AS VARCHAR) FROM pages),
+sec AS (SELECT *, last_value(marker IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS label FROM ml),
 ents AS (SELECT min(line_no) AS line_no, url, label FROM sec WHERE url IS NOT NULL AND label IS NOT NULL GROUP BY url, label),
 man AS (SELECT row_number() OVER (ORDER BY line_no) AS manifest_index, url, label FROM ents)"""
 FOUND = r"""
-found AS (SELECT doc_id AS rank, CASE WHEN doc_id % 2 = 0 THEN 'youtube_kids' ELSE 'youtube' END AS source, 'v' || CAST(doc_id % 301 AS VARCHAR) AS video_id,
-  trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS title, source AS channel, n_chars % 900 AS duration FROM documents),
+found AS (SELECT doc_id AS rank, CASE WHEN doc_id % 2 = 0 THEN 'youtube_kids' ELSE 'youtube' END AS source, 'v' || CAST(doc_id - doc_id % 3 AS VARCHAR) AS video_id,
+  trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title, source AS channel, n_chars % 900 AS duration FROM documents),
 elig AS (SELECT * FROM found WHERE duration BETWEEN 100 AND 600)"""
 VERIFIED = rf"""
 WITH {FOUND},
 cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY rank) AS k FROM elig) WHERE k = 1),
-md AS (SELECT 'v' || CAST(doc_id % 301 AS VARCHAR) AS video_id, doc_id, lang, n_chars % 900 AS duration, trim(regexp_replace('T' || substr(text, 1, 20), '\s+', ' ', 'g')) AS title FROM documents
-  WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY doc_id % 301)),
+md AS (SELECT 'v' || CAST(doc_id - doc_id % 3 AS VARCHAR) AS video_id, doc_id, lang, n_chars % 900 AS duration, trim(regexp_replace('T' || split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS title FROM documents
+  WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY doc_id - doc_id % 3)),
 verified AS (SELECT c.video_id, c.source, CASE WHEN m.doc_id % 3 = 0 THEN c.title ELSE m.title END AS title, c.channel, CAST(m.duration AS INTEGER) AS duration_seconds,
   CASE WHEN m.doc_id % 4 = 0 THEN 'english_search_candidate' ELSE m.lang END AS language, 'passed_unauthenticated_metadata_format_check' AS download_check
   FROM cand c JOIN md m USING (video_id) WHERE m.doc_id % 17 <> 0 AND m.doc_id % 11 <> 0 AND (m.doc_id % 4 = 0 OR m.lang LIKE 'en%') AND m.duration BETWEEN 0 AND 900)
@@ -94,6 +94,59 @@ opened AS (SELECT recording_id, unnest(ps) AS pos, unnest(z.d) AS soft, unnest(r
 capt AS (SELECT recording_id, pos, CAST(sum(CASE WHEN soft = 1 OR k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY pos) - 1 AS BIGINT) AS line FROM opened)
 """
 
+INFO_TEXT = r"""'“' || translate(word, '\\{}', '/()') || '”    pitch ' || coalesce(printf('%.0f Hz', pitch_mean_hz), '—') || '    pause after ' || coalesce(printf('%.2f s', pause_after_sec), '—')
+  || '    rate ' || printf('%.1f syl/s', speech_rate_sps)"""
+#: Syllables that begin in a line: both stand under buckets of five seconds, so that they are joined by equal keys.
+IN_LINES = """
+one AS (SELECT recording_id, line, min(start_sec) AS first_start, arg_max(end_sec, pos) AS last_end, min(pos) AS first_pos, max(pos) AS last_pos FROM capt JOIN words USING (recording_id, pos) GROUP BY 1, 2),
+spread AS (SELECT *, unnest(range(CAST(floor((first_start - 0.005::DOUBLE) / 5) AS BIGINT), CAST(floor((last_end + 0.005::DOUBLE) / 5) AS BIGINT) + 1)) AS bucket FROM one),
+inl AS (SELECT o.recording_id, line, pos, syllable_index, syllable_count, syllable, start_sec, end_sec
+  FROM spread o JOIN units x ON x.recording_id = o.recording_id AND CAST(floor(x.start_sec / 5) AS BIGINT) = bucket AND x.start_sec >= first_start - 0.005::DOUBLE AND x.start_sec <= last_end + 0.005::DOUBLE)"""
+
+
+def _cs(x: str) -> str:
+    return f"CAST(round_even({x} * 100, 0) AS BIGINT)"
+
+
+def _clock(x: str) -> str:
+    """h:mm:ss.cc of a time in seconds."""
+    c = _cs(f"greatest({x}, 0.0::DOUBLE)")
+    return f"CAST({c} // 360000 AS VARCHAR) || ':' || lpad(CAST({c} // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
+
+
+def _dialogue(layer: int, start: str, end: str, style: str, margin: str, text: str) -> str:
+    return f"'Dialogue: {layer},' || {_clock(start)} || ',' || {_clock(end)} || ',{style},,0,0,' || {margin} || ',,' || {text}"
+
+
+def _sung(name: str, rows: str) -> str:
+    """One command string per line of rows(recording_id, line, line_start, line_end, k1, k2, s, e, shown), in the order of k1, k2."""
+    return rf"""
+{name}_b AS (SELECT *, greatest({_cs('line_start')}, coalesce(max(greatest({_cs('s')}, {_cs('e')})) OVER (PARTITION BY recording_id, line ORDER BY k0, k1, k2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {_cs('line_start')})) AS b FROM ({rows})),
+{name}_p AS (SELECT *, greatest(0, {_cs('s')} - b) AS gap, greatest({_cs('e')}, greatest(b, {_cs('s')})) - greatest(b, {_cs('s')}) AS len FROM {name}_b),
+{name} AS (SELECT recording_id, line, line_start, line_end, string_agg(CASE WHEN gap > 0 THEN '{{\k' || CAST(gap AS VARCHAR) || '}}' ELSE '' END || '{{\k' || CAST(len AS VARCHAR) || '}}' || translate(shown, '\{{}}', '/()'), '' ORDER BY k0, k1, k2) AS text
+  FROM {name}_p GROUP BY 1, 2, 3, 4)"""
+
+
+LABELS = ((215, "WORDS · WhisperX forced alignment"), (355, "SYLLABLES · estimated within each word"), (525, "PROSODY · Praat / Parselmouth"))
+_STATS = _stats("words", "recording_id, pos").replace("f AS", "fr AS").replace("FROM f JOIN", "FROM fr JOIN").replace("SELECT f.*", "SELECT fr.*")
+#: All event lines of all recordings, in the order of (grp, line, pos).
+CAPTION_EVENTS = CAPTIONS + f""", {SYLLABLES}, {_STATS}, {IN_LINES},
+ends AS (SELECT *, greatest(least(last_end + 0.4, coalesce(lead(first_start) OVER (PARTITION BY recording_id ORDER BY line) - 0.25, last_end + 2.0)), last_end) AS line_end FROM one),
+lt AS (SELECT *, greatest(first_start - 0.25, coalesce(lag(line_end) OVER (PARTITION BY recording_id ORDER BY line), 0.0)) AS line_start FROM ends),
+{_sung('sw', "SELECT recording_id, line, line_start, line_end, 0 AS k0, pos AS k1, 0 AS k2, start_sec AS s, end_sec AS e, word || CASE WHEN pos = last_pos THEN '' ELSE ' ' END AS shown FROM capt JOIN words USING (recording_id, pos) JOIN lt USING (recording_id, line)")},
+{_sung('ss', "SELECT recording_id, line, line_start, line_end, start_sec AS k0, pos AS k1, syllable_index AS k2, start_sec AS s, end_sec AS e, syllable || CASE WHEN syllable_index = syllable_count THEN '  ' ELSE '·' END AS shown FROM inl JOIN lt USING (recording_id, line)")},
+feats AS (SELECT w.recording_id, w.pos, word, start_sec, end_sec, pitch_mean_hz, lead(start_sec) OVER o AS nxt,
+  round(CASE WHEN lead(start_sec) OVER o IS NOT NULL THEN greatest(0.0, lead(start_sec) OVER o - end_sec) END, 3) AS pause_after_sec, round(greatest(1, len({PARTS})) / greatest(end_sec - start_sec, 1e-6), 3) AS speech_rate_sps
+  FROM words w LEFT JOIN stats s ON s.recording_id = w.recording_id AND s.pos = w.pos WINDOW o AS (PARTITION BY w.recording_id ORDER BY w.pos)),
+heads AS (SELECT doc_id AS recording_id, CASE WHEN doc_id % 2 = 0 THEN 'kids' ELSE 'normal' END || ' · https://youtu.be/d' || CAST(doc_id AS VARCHAR) AS title, coalesce(stop, 0.0) + 5.0::DOUBLE AS stop
+  FROM documents LEFT JOIN (SELECT recording_id, arg_max(end_sec, pos) AS stop FROM words GROUP BY 1) ON recording_id = doc_id),
+events_of AS (SELECT recording_id, 0 AS grp, 0::BIGINT AS line, 0::BIGINT AS pos, {_dialogue(0, '0.0::DOUBLE', 'stop', 'Title', "'0'", r"translate(title, '\{}', '/()')")} AS event FROM heads
+  {' '.join(f"UNION ALL SELECT recording_id, 0, 0, {k + 1}, " + _dialogue(0, '0.0::DOUBLE', 'stop', 'Label', f"'{top}'", f"'{label}'") + ' FROM heads' for k, (top, label) in enumerate(LABELS))}
+  UNION ALL SELECT recording_id, 1, line, 0, {_dialogue(1, 'line_start', 'line_end', 'Words', "'0'", 'text')} FROM sw
+  UNION ALL SELECT recording_id, 1, line, 1, {_dialogue(1, 'line_start', 'line_end', 'Syll', "'0'", 'text')} FROM ss
+  UNION ALL SELECT recording_id, 2, pos, 0, {_dialogue(2, 'start_sec', 'greatest(least(end_sec + 0.3, coalesce(nxt, end_sec + 1)), end_sec)', 'Info', "'0'", INFO_TEXT)} FROM feats)
+"""
+
 SQL: dict[str, str] = {
     "syllabify": f"WITH {WORDS} SELECT recording_id, pos, array_to_string({PARTS}, '|') AS syllables, CAST(greatest(1, len({PARTS})) AS BIGINT) AS n FROM words",
     "syllable_units": f"WITH {WORDS}, {SYLLABLES} SELECT recording_id, pos, syllable_index, syllable_count, syllable, start_sec, end_sec FROM units",
@@ -111,7 +164,7 @@ SQL: dict[str, str] = {
     "manifest_index": f"WITH {LINES} SELECT * FROM man",
     "manifest_rejects": f"""WITH {LINES} SELECT line_no, 'ftp://elsewhere' AS line, 'unsupported url' AS reason FROM sec WHERE line_no % 14 = 3""",
     "shards": f"WITH {LINES} SELECT manifest_index, (manifest_index - 1) % 4 AS shard, url FROM man",
-    "shards_complete_disjoint": "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra",
+    "shards_complete_disjoint": f"WITH {LINES} SELECT (manifest_index - 1) % 4 AS shard, count(*) AS n, CAST(sum(manifest_index) AS BIGINT) AS index_sum, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra FROM man GROUP BY 1",
     "label_overlap": f"WITH {LINES} SELECT url, count(DISTINCT label) AS n_labels FROM ents GROUP BY url HAVING count(DISTINCT label) > 1",
     "output_names": f"""WITH {LINES} SELECT line_no, substr(url, 18) AS key, label || '/video_' || CASE WHEN line_no < 10000 THEN lpad(CAST(line_no AS VARCHAR), 4, '0') ELSE CAST(line_no AS VARCHAR) END || '_' || substr(url, 18) || '.json' AS output, TRUE AS supported FROM ents""",
     "video_key": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a-' || CAST(page_id AS VARCHAR) WHEN 1 THEN CAST(page_id AS VARCHAR) || '_x' ELSE 'video' END AS key FROM pages",
@@ -168,10 +221,8 @@ SQL: dict[str, str] = {
     "word_info": f"""WITH {WORDS}, z AS (SELECT *, CAST(round_even(start_sec * 100, 0) AS BIGINT) AS c, coalesce(lead(start_sec) OVER (PARTITION BY recording_id ORDER BY pos), end_sec + 1) AS nxt FROM words)
         SELECT recording_id, pos, CAST(c // 360000 AS VARCHAR) || ':' || lpad(CAST(c // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(c // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS shown,
         round(greatest(least(end_sec + 0.3, nxt), end_sec), 6)::DOUBLE AS info_end, translate(word, '\\{{}}', '/()') AS word, regexp_matches(word, '[.?!]["'']*$') AS ends FROM z""",
-    "syllables_in_lines": CAPTIONS + f""", {SYLLABLES}, one AS (SELECT recording_id, line, min(start_sec) AS first_start, arg_max(end_sec, pos) AS last_end FROM capt JOIN words USING (recording_id, pos) GROUP BY 1, 2)
-        SELECT o.recording_id, line, pos, syllable_index FROM one o JOIN units x ON x.recording_id = o.recording_id AND x.start_sec >= first_start - 0.005::DOUBLE AND x.start_sec <= last_end + 0.005::DOUBLE""",
-    "word_info_text": WORD_FEATURES + """SELECT recording_id, pos, '“' || translate(word, '\\{}', '/()') || '”    pitch ' || coalesce(printf('%.0f Hz', pitch_mean_hz), '—') || '    pause after ' || coalesce(printf('%.2f s', pause_after_sec), '—')
-        || '    rate ' || printf('%.1f syl/s', speech_rate_sps) AS info FROM feats""",
+    "syllables_in_lines": CAPTIONS + f""", {SYLLABLES}, {IN_LINES} SELECT recording_id, line, pos, syllable_index FROM inl""",
+    "word_info_text": WORD_FEATURES + f"SELECT recording_id, pos, {INFO_TEXT} AS info FROM feats",
     "syllable_text": f"WITH {WORDS}, {SYLLABLES} SELECT recording_id, pos, syllable_index, syllable || CASE WHEN syllable_index = syllable_count THEN '  ' ELSE '·' END AS shown FROM units",
     "sorted_by_start": f"WITH {WORDS} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_sec - CASE WHEN pos % 5 = 0 THEN 2 ELSE 0 END, pos) - 1 AS pos, pos AS was FROM words",
     "payload_counts": f"WITH {SEGMENTS} SELECT c.conv_id AS recording_id, 'word' AS granularity, coalesce(n, 0) AS n_words FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN (SELECT recording_id, count(*) AS n FROM usable GROUP BY 1) ON recording_id = conv_id",
@@ -183,3 +234,21 @@ SQL: dict[str, str] = {
         CASE WHEN length(text) >= 100 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN length(text) < 100 THEN 'ValueError: too short' END AS error FROM documents""",
 }
 SQL["stream_fold_progress"] = SQL["fold_progress"]
+SQL["stream_lifecycle"], SQL["stream_admission"], SQL["manifest_files"] = SQL["lifecycle"], SQL["admit_jobs"], SQL["manifest_index"]
+SQL["caption_events"] = CAPTION_EVENTS + "SELECT recording_id, grp, line, pos, event FROM events_of"
+SQL["caption_file"] = CAPTION_EVENTS + "SELECT recording_id, 17 + count(*) AS n_lines, sha256(string_agg(event, chr(10) ORDER BY grp, line, pos)) AS events FROM events_of GROUP BY 1"
+SQL["caption_files"] = SQL["caption_file"]
+SQL["result_files"] = f"""WITH {WORDS}, {SYLLABLES}, rec AS (SELECT recording_id, label, 'https://youtu.be/d' || CAST(recording_id AS VARCHAR) AS source_url FROM (SELECT DISTINCT recording_id, label FROM words))
+    SELECT source_url, label, 'word' AS kind, pos, word AS part, start_sec AS start_time, end_sec AS end_time FROM words JOIN rec USING (recording_id, label)
+    UNION ALL SELECT source_url, label, 'syllable', row_number() OVER (PARTITION BY recording_id ORDER BY pos, syllable_index) - 1, syllable, start_sec, end_sec FROM units JOIN rec USING (recording_id, label)"""
+SQL["manifest_written"] = f"""WITH {FOUND} SELECT 'csv' AS form, CASE WHEN source = 'youtube_kids' THEN 'kids' ELSE 'normal' END AS label, rank AS position, 'https://youtu.be/' || video_id AS url FROM found
+    UNION ALL SELECT 'json', CASE WHEN source = 'youtube_kids' THEN 'kids' ELSE 'normal' END, rank, 'https://youtu.be/' || video_id FROM found
+    UNION ALL SELECT 'labelled', label, min(row_number) OVER (PARTITION BY label, url), url FROM (SELECT DISTINCT label, url, first AS row_number FROM (
+      SELECT CASE WHEN source = 'youtube_kids' THEN 'kids' ELSE 'normal' END AS label, 'https://youtu.be/' || video_id AS url, min(rank) OVER (PARTITION BY source, video_id) AS first FROM found))"""
+SQL["access_sample_files"] = """SELECT doc_id, kind, yt_dlp_ok, duration, title, form FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source AS kind, n_chars % 5 <> 0 AS yt_dlp_ok, CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS DOUBLE) END AS duration,
+    CASE WHEN doc_id % 2 = 1 THEN lang || ', "' || CAST(doc_id AS VARCHAR) || '"' END AS title FROM documents), (VALUES ('csv'), ('jsonl')) t(form)"""
+SQL["state_snapshots"] = f"WITH {STATE} SELECT job_id, url, label, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, attempts, CAST(2 AS INTEGER) AS version FROM js"
+SQL["all_sources"] = f"WITH {FOUND} SELECT rank, source, video_id FROM found UNION ALL SELECT rank, source, video_id FROM found WHERE source = 'youtube_kids'"
+SQL["checked_at"] = "SELECT doc_id, TRUE AS in_form, TRUE AS is_now FROM documents"
+SQL["payload_counts_both"] = f"""WITH {WORDS} SELECT doc_id AS recording_id, 'both' AS granularity, coalesce(n_words, 0) AS n_words, coalesce(n_syllables, 0) AS n_syllables
+    FROM documents LEFT JOIN (SELECT recording_id, count(*) AS n_words, CAST(sum(len({PARTS})) AS BIGINT) AS n_syllables FROM words GROUP BY 1) ON recording_id = doc_id"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from cadence.functions import text as T
 from cadence.operators import align, candidates, captions, features, inference, manifest, payload, state
 from cadence.plans import oracle
 from cadence.plans.fixtures import Inputs
-from cadence.sources.captions import caption_text
+from cadence.sources import manifests, results, snapshots
+from cadence.sources.captions import caption_text, write_captions
 from cadence.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,10 +30,23 @@ def query(f: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
 
 
 def _ready(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; one of its own only where none is set, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The cluster's shared checkpoint folder; one of its own only where none is set and all runs on one machine, as in tests."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def _folder(i: Inputs, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{_ready(i.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _event_stream(i: Inputs) -> DataFrame:
+    return i.spark.readStream.schema(i.table("events").schema).option("recursiveFileLookup", True).parquet(f"{i.sf_dir}/events.parquet*")
 
 
 @query
@@ -60,6 +75,7 @@ def syllable_features(i: Inputs) -> DataFrame:
 
 @query
 def compare_labels(i: Inputs) -> DataFrame:
+    _ready(i.spark)
     f = features.compare_labels(features.word_features(i.words(), i.frames()))
     return f.select(*(F.round(c, 4).alias(c) if c.startswith(("pitch", "pause", "speech")) else c for c in f.columns))
 
@@ -106,8 +122,10 @@ def shards(i: Inputs) -> DataFrame:
 
 @query
 def shards_complete_disjoint(i: Inputs) -> DataFrame:
+    """What each shard holds, beside what all of them lack or have too much."""
     _ready(i.spark)
-    return manifest.shards_complete_disjoint(manifest.manifest(i.manifest_lines()), SHARDS)
+    m = manifest.manifest(i.manifest_lines())
+    return manifest.shard_sizes(m, SHARDS).join(F.broadcast(manifest.shards_complete_disjoint(m, SHARDS)))  # one row
 
 
 @query
@@ -277,11 +295,21 @@ def admit_jobs(i: Inputs) -> DataFrame:
 @query
 def stream_fold_progress(i: Inputs) -> DataFrame:
     """The same rows as fold_progress, by a stream over the table's files that ends when all are read."""
-    import uuid
+    folder = _folder(i, "progress")
+    return jobs.run_to_table(jobs.fold_progress(i.job_events(_event_stream(i))), f"{folder}/state", f"{folder}/stream", "job_id")
+
 
-    folder, name = _ready(i.spark), f"progress_{uuid.uuid4().hex}"
-    events = i.spark.readStream.schema(i.table("events").schema).option("recursiveFileLookup", True).parquet(f"{i.sf_dir}/events.parquet*")
-    return jobs.run_to_memory(jobs.fold_progress(i.job_events(events)), name, f"{folder}/{name}")
+@query
+def stream_lifecycle(i: Inputs) -> DataFrame:
+    folder = _folder(i, "lifecycle")
+    return jobs.run_to_table(jobs.lifecycle_updates(i.job_events(_event_stream(i))), f"{folder}/state", f"{folder}/stream", "job_id")
+
+
+@query
+def stream_admission(i: Inputs) -> DataFrame:
+    folder = _folder(i, "admission")
+    admitted = jobs.admit_jobs(i.requests(_event_stream(i))).select("request_no", "job_id", "accepted", "reason")
+    return jobs.run_to_table(admitted, f"{folder}/state", f"{folder}/stream")
 
 
 @query
@@ -359,25 +387,125 @@ def durations(i: Inputs) -> DataFrame:
 
 @query
 def incremental_work(i: Inputs) -> DataFrame:
-    """Jobs of the event stream, each worked on once, by a stream that ends when all files are read."""
-    import uuid
-
-    folder = f"{_ready(i.spark)}/work-{uuid.uuid4().hex}"
-    events = i.spark.readStream.schema(i.table("events").schema).option("recursiveFileLookup", True).parquet(f"{i.sf_dir}/events.parquet*")
+    """Jobs of the event stream, each worked on once, by a stream that ends when all files are read, and by one that starts anew."""
+    folder = _folder(i, "work")
 
     def work(batch: DataFrame) -> DataFrame:
         return batch.select("user_id", F.when(F.col("user_id") % 5 == 0, "failed").otherwise("completed").alias("status"))
 
-    jobs.process_incrementally(events.select("user_id"), "user_id", work, f"{folder}/state", f"{folder}/progress")
-    return i.spark.read.parquet(f"{folder}/state").select(F.col("user_id").alias("job_id"), "status").distinct()
+    for start in ("first", "again"):
+        jobs.process_incrementally(_event_stream(i).select("user_id"), "user_id", work, f"{folder}/state", f"{folder}/{start}")
+    done = i.spark.read.parquet(f"{folder}/state")
+    return done.groupBy(F.col("user_id").alias("job_id")).agg(F.max_by("status", "run").alias("status"))
 
 
-@query
-def caption_file(i: Inputs) -> DataFrame:
-    """Whole subtitle files: per recording the number of event lines and their length."""
+def caption_events_of(i: Inputs) -> DataFrame:
     w, s = features.both_features(i.words(), i.frames())
     heads = i.recordings().select("recording_id", F.concat_ws(" · ", "label", "source_url").alias("title"))
-    return caption_text(captions.caption_events(heads, w, s))
+    return captions.caption_events(heads, w, s)
+
+
+@query
+def caption_events(i: Inputs) -> DataFrame:
+    """Every event line of every recording's captions, with its place in the file."""
+    return caption_events_of(i)
+
+
+def _read_captions(texts: DataFrame) -> DataFrame:
+    """Lines of each file (recording_id, text), and a hash of all its event lines."""
+    text = F.regexp_replace("text", "\n$", "")
+    return texts.select("recording_id", F.size(F.split(text, "\n")).cast("long").alias("n_lines"), F.sha2(F.substring_index(text, "\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n", -1), 256).alias("events"))
+
+
+@query
+def caption_file(i: Inputs) -> DataFrame:
+    """Whole subtitle files, one text for each recording: how many lines, and a hash of the event lines."""
+    return _read_captions(caption_text(caption_events_of(i)))
+
+
+@query
+def caption_files(i: Inputs) -> DataFrame:
+    """The same, of files that are written and read back."""
+    folder = _folder(i, "captions")
+    write_captions(caption_events_of(i), folder)
+    return _read_captions(i.spark.read.text(folder, wholetext=True).select(F.col("recording_id").cast("long").alias("recording_id"), F.col("value").alias("text")))
+
+
+@query
+def result_files(i: Inputs) -> DataFrame:
+    """Result documents, written as JSON lines and read back as words and syllables."""
+    folder, empty = _folder(i, "results"), {c: F.lit(None).cast("double") for c in features.FEATURES}
+    w, s = i.words().withColumns(empty), align.syllable_units(i.words()).withColumns(empty)
+    results.write_results(payload.nest_payload(i.recordings(), w, s, "both"), folder)
+    words, syllables = results.read_results(i.spark, folder)
+    parts = ((words, "word"), (syllables, "syllable"))
+    out = [d.select("source_url", "label", F.lit(k).alias("kind"), "pos", F.col(k).alias("part"), "start_time", "end_time") for d, k in parts]
+    return out[0].unionByName(out[1])
+
+
+@query
+def manifest_files(i: Inputs) -> DataFrame:
+    """Manifest lines written as text files, and read again with all checks."""
+    folder = _folder(i, "manifest")
+    lines = i.manifest_lines()
+    lines.repartition("file").sortWithinPartitions("file", "line_no").select("file", F.col("line").alias("value")).write.partitionBy("file").text(folder)
+    return manifests.read_manifest(i.spark, folder)
+
+
+@query
+def manifest_written(i: Inputs) -> DataFrame:
+    """Candidate lists written in all forms; the tables, and the one list with labels, read back."""
+    folder = _folder(i, "lists")
+    urls = i.found().select("source", F.col("rank").alias("position"), F.concat(F.lit("https://youtu.be/"), F.col("video_id")).alias("url"))
+    manifests.write_manifest(urls.filter("source = 'youtube_kids'").drop("source"), urls.filter("source = 'youtube'").drop("source"), folder)
+    schema = "position long, url string, label string"
+    tables = i.spark.read.option("header", True).schema(schema).csv(f"{folder}/csv").withColumn("form", F.lit("csv"))
+    tables = tables.unionByName(i.spark.read.schema(schema).json(f"{folder}/json").withColumn("form", F.lit("json")))
+    first = urls.groupBy("url", F.when(F.col("source") == "youtube_kids", "kids").otherwise("normal").alias("label")).agg(F.min("position").alias("position"))
+    listed = manifests.read_manifest(i.spark, f"{folder}/labelled").join(first, ["url", "label"]).withColumn("form", F.lit("labelled"))
+    return tables.unionByName(listed.drop("manifest_index")).select("form", "label", "position", "url")
+
+
+@query
+def access_sample_files(i: Inputs) -> DataFrame:
+    """Access checks of two kinds with unlike columns, written in both forms and read back."""
+    folder, d = _folder(i, "access"), i.table("documents")
+    known = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("kind"), (F.col("n_chars") % 5 != 0).alias("yt_dlp_ok"), F.col("n_chars").cast("double").alias("duration"), F.concat(F.col("lang"), F.lit(', "'), F.col("doc_id").cast("string"), F.lit('"')).alias("title"))
+    manifests.write_access_sample([known.filter("doc_id % 2 = 0").drop("title"), known.filter("doc_id % 2 = 1").drop("duration")], folder)
+    back = [manifests.read_access_sample(i.spark, f"{folder}/{form}", form).select(F.col("doc_id").cast("string").alias("doc_id"), "kind", "yt_dlp_ok", "duration", "title").withColumn("form", F.lit(form)) for form in ("csv", "jsonl")]
+    return back[0].unionByName(back[1])
+
+
+@query
+def state_snapshots(i: Inputs) -> DataFrame:
+    """The state table, written, read, mended and written again; what the pointer then names."""
+    folder = _folder(i, "state")
+    snapshots.write_state(i.job_state(), folder)
+    version = snapshots.write_state(state.retry_failed(snapshots.read_state(i.spark, folder)), folder)
+    return snapshots.read_state(i.spark, folder).select("job_id", "url", "label", "status", "attempts", F.lit(version).cast("int").alias("version"))
+
+
+@query
+def all_sources(i: Inputs) -> DataFrame:
+    """Both lists, with the rows that stand in both."""
+    found = i.found().select("rank", "source", "video_id")
+    return candidates.all_sources(found.filter("source = 'youtube_kids'"), found)
+
+
+@query
+def checked_at(i: Inputs) -> DataFrame:
+    """The time of a check, in form and within a day of this machine's."""
+    at = T.utc_now()
+    return i.table("documents").select("doc_id", at.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00$").alias("in_form"), (F.abs(F.unix_timestamp(F.to_timestamp(at)) - F.unix_timestamp()) < 86400).alias("is_now"))
+
+
+@query
+def payload_counts_both(i: Inputs) -> DataFrame:
+    empty = {c: F.lit(None).cast("double") for c in features.FEATURES}
+    p = payload.nest_payload(i.recordings(), i.words().withColumns(empty), align.syllable_units(i.words()).withColumns(empty), "both")
+    p = payload.select_granularity(p, "both")
+    n = payload.record_counts(p)
+    return p.select("recording_id", "granularity", n["words"].cast("long").alias("n_words"), n["syllables"].cast("long").alias("n_syllables"))
 
 
 @query
