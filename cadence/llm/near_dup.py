@@ -2,7 +2,8 @@
 
 A document's set holds its different shingles of some successive words (A to Z lower-cased); a document with fewer
 words is one shingle. Documents are linked whose sets reach the threshold in intersection over union, and a
-component is what links reach. Links are confirmed on the full sets, made of the whole texts.
+component is what links reach. Links are confirmed on the full sets, made of the whole texts; a shingle stands there
+as a keyed 64-bit hash, which is compared within one pair of sets only, and a set as 128 bits.
 
 1. Signatures. Every shingle has a random permutation of the signature's places and a random number for each
    step: in step j it offers (j, number) to the j-th place of its permutation. Offers of later steps are always
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
+from .hot import counted, join_dealt
 
 SHINGLE, THRESHOLD = 5, 80  # percent
 BAND_ROWS, MISS = 4, 1e-6
@@ -66,7 +68,11 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def super_minhash(owner: np.ndarray, h: np.ndarray, texts: int, places: int) -> np.ndarray:
-    """(texts, places) of 64-bit values: the step in the upper 8 bits, a random number below. At most 255 places."""
+    """(texts, places) of 64-bit values: the step in the upper bits, a random number below."""
+    wide = 8 if places <= 256 else 16
+    if places > 1 << 16:
+        raise ValueError("a signature has 65,536 places at most")
+    below, above, kind = np.uint64(64 - wide), np.uint64(wide), np.uint8 if wide == 8 else np.uint16
     sig = np.full(texts * places, np.iinfo(np.uint64).max, np.uint64)
     perm, rows = None, None
     for j in range(places):
@@ -79,10 +85,11 @@ def super_minhash(owner: np.ndarray, h: np.ndarray, texts: int, places: int) ->
             perm[rows, k] = perm[rows, j]
         else:
             place = k
-        np.minimum.at(sig, owner * places + place, (np.uint64(j) << np.uint64(56)) | (r >> np.uint64(8)))
+        np.minimum.at(sig, owner * places + place, (np.uint64(j) << below) | (r >> above))
         present = np.unique(owner)
         going = np.zeros(texts, bool)
-        going[present] = sig.reshape(texts, places)[present].max(axis=1) >= np.uint64(j + 1) << np.uint64(56)
+        if j + 1 < places:
+            going[present] = sig.reshape(texts, places)[present].max(axis=1) >= np.uint64(j + 1) << below
         stays = going[owner]
         owner, h = owner[stays], h[stays]
         if j:
@@ -91,7 +98,7 @@ def super_minhash(owner: np.ndarray, h: np.ndarray, texts: int, places: int) ->
                 perm, rows = perm[rows], np.arange(len(rows))
         else:
             # the permutations of what is left, after their first swap
-            perm, rows = np.tile(np.arange(places, dtype=np.uint8), (len(h), 1)), np.arange(len(h))
+            perm, rows = np.tile(np.arange(places, dtype=kind), (len(h), 1)), np.arange(len(h))
             perm[rows, k[stays]] = 0
             perm[:, 0] = k[stays]
     return sig.reshape(texts, places)
@@ -128,7 +135,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, units: DataFrame, size: int) -> DataFrame:
-    """unit, node, n, shingles (sorted): the whole sets of some nodes, made of their documents' whole texts."""
+    """unit, node, n, shingles (sorted): the whole sets of some units(unit, node, set_a, set_b), made of their documents' whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,10 +145,11 @@ def full_sets(docs: DataFrame, units: DataFrame, size: int) -> DataFrame:
                 cuts = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 made = pa.RecordBatch.from_arrays([b.column("unit"), b.column("node"), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(h.view(np.int64)))], names=["unit", "node", "n", "shingles"])
                 # of rows that share a doc_id, the one whose set it is
-                yield made.filter(pa.array(_set_hash(h, count, 1) == b.column("unit").to_numpy()))
+                own = (_set_hash(h, count, 1) == b.column("set_a").to_numpy()) & (_set_hash(h, count, 2) == b.column("set_b").to_numpy())
+                yield made.filter(pa.array(own))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("its_id"), F.col("text").alias("text"))
-    rows = texts.join(units.select("unit", "node"), F.col("its_id") == F.col("node")).select("unit", "node", "text")
+    rows = texts.join(units.select("unit", "node", "set_a", "set_b"), F.col("its_id") == F.col("node")).select("unit", "node", "set_a", "set_b", "text")
     return rows.mapInArrow(run, "unit long, node long, n long, shingles array<long>").dropDuplicates(["unit"])
 
 
@@ -153,9 +161,10 @@ def _set_hash(h: np.ndarray, count: np.ndarray, seed: int) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b) of units -> nodes (a, b) of those whose full sets reach the threshold. b's set goes to a, so that a hot a can be split."""
+    """pairs(a, b) of units -> nodes (a, b) of those whose full sets reach the threshold. b's set goes to a, whose pairs are dealt if there are many."""
+    pairs = pairs.checkpoint()
     x, y = (sets.select(F.col("unit").alias(f"{s}_unit"), F.col("node").alias(f"{s}_node"), F.col("shingles").alias(f"{s}_set")) for s in "ab")
-    both = pairs.join(y, F.col("b") == F.col("b_unit")).join(x, F.col("a") == F.col("a_unit"))
+    both = join_dealt(pairs.join(y, F.col("b") == F.col("b_unit")), x.withColumnRenamed("a_unit", "a"), "a", counted(pairs, "a"), pairs.count(), F.col("b"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     reached = 100 * shared >= percent * (F.size("a_set") + F.size("b_set") - shared)
     return both.filter(reached).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
@@ -167,10 +176,12 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Of two sets that reach it, the first shingle that they share in an order from rare to frequent lies in both their
     prefixes, and what follows it in either is no less than what must be shared.
     """
-    rows = sets.join(roots, "unit").select("unit", "root", "n", F.explode("shingles").alias("shingle"))
+    own = sets.join(roots, "unit")
+    rows = own.select("unit", "root", "n", F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    total = own.agg(F.sum("n")).first()[0] or 0
     place = F.row_number().over(Window.partitionBy("unit").orderBy("df", "shingle")) - 1
-    placed = rows.join(often, "shingle").withColumn("place", place)
+    placed = join_dealt(rows, often, "shingle", often.select("shingle", F.col("df").alias("n")), total, F.col("unit")).withColumn("place", place)
     prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place")
     most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
     prefix = prefix.join(most.select("shingle", "main"), "shingle")
@@ -199,29 +210,34 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     signed = signatures(docs, size, percent).checkpoint()
     named = signed.filter("n_shingles > 0 and doc_id is not null")
-    nodes = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"))
-    nodes = nodes.withColumn("unit", F.col("set_a")).checkpoint()
+    nodes = named.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"), F.count("*").alias("copies"),
+    )
+    nodes = nodes.withColumn("unit", F.monotonically_increasing_id()).checkpoint()
     members = nodes.select(F.explode("bands").alias("band"), "unit", "node")
     first = F.struct("node", "unit")
-    shared = members.groupBy("band").agg(F.min(first).alias("lead"), F.max(first).alias("last")).filter("lead < last").select("band", F.col("lead.unit").alias("lead"))
-    members = members.join(shared, "band").checkpoint()
-    sets = full_sets(docs, members.select("unit", "node").distinct(), size).checkpoint()
+    shared = members.groupBy("band").agg(F.min(first).alias("lead"), F.max(first).alias("last"), F.count("*").alias("n")).filter("n > 1").select("band", F.col("lead.unit").alias("lead"), "n")
+    members = join_dealt(members, shared.drop("n"), "band", shared, nodes.count() * bands_for(percent), F.col("unit")).checkpoint()
+    met = members.select("unit").distinct()
+    sets = full_sets(docs, nodes.join(met, "unit").select("unit", "node", "set_a", "set_b"), size).checkpoint()
     about = nodes.select("unit", "n", "marks")
     a, b = (about.select(F.col("unit").alias(f"{x}_unit"), F.col("n").alias(f"{x}_n"), F.col("marks").alias(f"{x}_marks")) for x in "ab")
-    stars = members.filter("unit <> lead").select(F.col("lead").alias("a"), F.col("unit").alias("b")).distinct()
-    stars = _similar(stars.join(a, F.col("a") == F.col("a_unit")).join(b, F.col("b") == F.col("b_unit")), percent)
-    found = components(verify(stars, sets, percent))
+    stars = members.filter("unit <> lead").select(F.col("lead").alias("a"), F.col("unit").alias("b")).distinct().checkpoint()
+    stars = join_dealt(stars.join(b, F.col("b") == F.col("b_unit")), a.withColumnRenamed("a_unit", "a"), "a", counted(stars, "a"), stars.count(), F.col("b"))
+    found = components(verify(_similar(stars, percent), sets, percent))
 
     # buckets that still hold several components
     known = found.select("child", F.col("parent").alias("root"))
     placed = members.join(known, F.col("node") == F.col("child"), "left").select("band", "unit", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    open_ = placed.join(mixed, "band").select("unit", "root").distinct()
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("band", "n")
+    open_ = join_dealt(placed, mixed.drop("n"), "band", mixed, members.count(), F.col("unit")).select("unit", "root").distinct()
     more = verify(prefix_pairs(sets, open_, percent), sets, percent).checkpoint()
     if more.limit(1).count():
         found = components(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(more))
 
-    groups = nodes.join(found, F.col("node") == F.col("child"), "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("parent", "node").alias("of_set"))
-    out = signed.join(groups, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_set", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    groups = nodes.join(found, F.col("node") == F.col("child"), "left").select("set_a", F.col("set_b").alias("b"), F.coalesce("parent", "node").alias("of_set"), F.col("copies").alias("n"))
+    # a set with many copies is dealt; sets that agree in 64 bits of 128 are told apart after the join
+    both = join_dealt(named.select("doc_id", "n_shingles", "set_a", "set_b"), groups.drop("n"), "set_a", groups.groupBy("set_a").agg(F.sum("n").alias("n")), signed.count(), F.col("doc_id")).filter("set_b = b")
+    linked = both.select("doc_id", "n_shingles", F.col("of_set").alias("component_id"))
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -73,3 +73,34 @@ def test_components(spark):
     child, root = unite(*np.array(edges, np.int64).T)
     assert got == dict(zip(child.tolist(), root.tolist(), strict=True)) and got[1200] == 1000 and got[2299] == 2000
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [60, 66])
+def test_low_thresholds_have_wide_signatures(docs_of, percent):
+    rng = random.Random(percent)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randint(0, 900)}" for _ in range(60)]
+        for _ in range(5):
+            rows.append([len(rows), " ".join(base)])
+            base[rng.randrange(60)] = f"v{g} {rng.random()}"
+    assert run(docs_of(rows), 3, percent) == brute(rows, 3, percent)
+    places = near_dup.bands_for(percent) * near_dup.BAND_ROWS
+    one = near_dup.super_minhash(np.array([0]), np.array([7], np.uint64), 1, places)[0]
+    assert places > 256 and sorted((one >> np.uint64(48)).tolist()) == list(range(places))
+
+
+def twisted(n):
+    """Two different words that polynomials modulo a power of two don't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_texts_of_colliding_words_are_not_linked(docs_of, n):
+    a, b = twisted(n)
+    rows = [(1, " ".join(f"w{i}" for i in range(11)) + f" {a}"), (2, " ".join(f"w{i}" for i in range(11)) + f" {b}")]
+    rows += [(3, f"x {a} y"), (4, f"x {b} y")]
+    assert run(docs_of(rows), 3, 85) == brute(rows, 3, 85)
