@@ -38,10 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .hot import counted, join_dealt
 
 MIN_WORDS = 5
 #: Holders of a run that are tried after the earliest one; each further cohort is eight times as large.
 COHORT = 4
+#: Pairs of documents that are unpacked at once.
+ROWS = 256
 _PRIME, _BASE, _POWERS = (1 << 61) - 1, 0x1B873593CC9E2D51, [1]
 
 
@@ -117,30 +120,44 @@ def longest_block(a: list[int], b: list[int]) -> tuple[int, int, int]:
     return best
 
 
-def runs(lines: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(first, last, key) of the shortest runs with so many words from each line on and up to each line. Keys are polynomials of the lines."""
-    n, sums, h = len(lines), [0], [0]
-    for x, w in zip(lines, words, strict=True):
+def spans(words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs with so many words from each line on and up to each line."""
+    n, sums = len(words), [0]
+    for w in words:
         sums.append(sums[-1] + w)
-        h.append((h[-1] * _BASE + x + (1 << 63) + 1) % _PRIME)
-    while len(_POWERS) <= n:
-        _POWERS.append(_POWERS[-1] * _BASE % _PRIME)
-    spans, e, s = set(), 0, 0
+    out, e, s = set(), 0, 0
     for k in range(n):
         e = max(e, k)
         while e < n and sums[e + 1] - sums[k] < least:
             e += 1
         if e < n:
-            spans.add((k, e))
+            out.add((k, e))
         while s < k and sums[k + 1] - sums[s + 1] >= least:
             s += 1
         if sums[k + 1] - sums[s] >= least:
-            spans.add((s, k))
-    return [(s, e, (h[e + 1] - h[s] * _POWERS[e + 1 - s]) % _PRIME) for s, e in sorted(spans)]
+            out.add((s, k))
+    return sorted(out)
+
+
+def runs(lines: list[int], words: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(first, last, key) of each of these runs. Keys are polynomials, modulo a prime, of the lines' hashes."""
+    h = [0]
+    for x in lines:
+        h.append((h[-1] * _BASE + x + (1 << 63) + 1) % _PRIME)
+    while len(_POWERS) <= len(lines):
+        _POWERS.append(_POWERS[-1] * _BASE % _PRIME)
+    return [(s, e, (h[e + 1] - h[s] * _POWERS[e + 1 - s]) % _PRIME) for s, e in spans(words, least)]
 
 
-def taken_runs(a: list[int], b: list[int], words: list[int], least: int) -> set[int]:
-    """Keys of b's runs that lie in aligned blocks with at least so many words; words has those of b's lines."""
+def keys_of(lines: list[int], words: list[int], least: int) -> list[int]:
+    """The key of all lines together, below 0, and those of the runs in order; none if there is no run."""
+    if sum(words) < least:
+        return []
+    return [-1 - runs(lines, [0] * (len(lines) - 1) + [1], 1)[0][2], *(key for _, _, key in runs(lines, words, least))]
+
+
+def taken_runs(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Which of b's runs, by their places in spans(), lie in aligned blocks with at least so many words; words has those of b's lines."""
     of, block, number, size, last = [0] * len(b), [], 0, 0, (-2, -2)
     for i, k in [*aligned(a, b), (-9, -9)]:
         if (i, k) != (last[0] + 1, last[1] + 1):
@@ -152,14 +169,14 @@ def taken_runs(a: list[int], b: list[int], words: list[int], least: int) -> set[
             block.append(k)
             size += words[k]
         last = (i, k)
-    return {key for s, e, key in runs(b, words, least) if of[s] and of[s] == of[e]} if number else set()
+    return [n for n, (s, e) in enumerate(spans(words, least)) if of[s] and of[s] == of[e]] if number else []
 
 
-def places(b: list[int], words: list[int], least: int, taken: set[int]) -> list[int]:
-    """Positions of the runs of these keys."""
+def places(words: list[int], least: int, keys: list[int], taken: set[int]) -> list[int]:
+    """Positions of the lines in runs whose keys are taken; keys are those of spans(), in order."""
     gone: set[int] = set()
     done = 0
-    for s, e, key in runs(b, words, least) if taken else ():
+    for (s, e), key in zip(spans(words, least), keys, strict=True) if taken else ():
         if key in taken:
             gone.update(range(max(s, done), e + 1))
             done = max(done, e + 1)
@@ -168,57 +185,61 @@ def places(b: list[int], words: list[int], least: int, taken: set[int]) -> list[
 
 def common_lines(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
     """Positions in b of aligned blocks with at least so many words, and of their runs elsewhere in b."""
-    return places(b, words, least, taken_runs(a, b, words, least))
+    keys = [key for _, _, key in runs(b, words, least)]
+    return places(words, least, keys, {keys[n] for n in taken_runs(a, b, words, least)})
+
+
+def lines_of(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """doc_id, row (a hash of the text), lines (the hash of each, 0 if blank), words (how many in each) and keys (see keys_of).
 
+    Lines are compared by one keyed hash and runs by another: what both call equal agrees in 125 bits.
+    """
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), lines (the hash of each, 0 if blank) and words (how many in each)."""
+    def hashes(w: W.Words, first: np.ndarray, n: np.ndarray, key: int) -> np.ndarray:
+        h = W.word_hash(w, key)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(h + (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))])
+        return np.where(n > 0, W.mix(total[first + n] - total[first] + n.astype(np.uint64)), np.uint64(0)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in W.slices(batch):
                 data, at = W.utf8(b.column("text"))
                 w = W.words(data, at)
-                h = W.word_hash(w)
                 feeds = np.flatnonzero(data == 10)
                 starts = np.sort(np.concatenate([at[:-1], feeds + 1]), kind="stable")
                 # a feed at a text's very end begins that text's empty last line, before the next text's first one
                 count = np.diff(np.searchsorted(feeds, at)) + 1
                 first = np.searchsorted(w.starts, starts)
                 n = np.diff(np.append(first, len(w.starts)))
-                total = np.concatenate([[np.uint64(0)], np.cumsum(W.mix(h + (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))])
-                lines = np.where(n > 0, W.mix(total[first + n] - total[first] + n.astype(np.uint64)), np.uint64(0)).view(np.int64)
-                cuts = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.ListArray.from_arrays(cuts, pa.array(lines)), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))], names=["doc_id", "row", "lines", "words"])
+                cut = np.concatenate([[0], np.cumsum(count)])
+                other, size = hashes(w, first, n, 1).tolist(), n.tolist()
+                keys = [keys_of(other[i:j], size[i:j], least) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                cuts = pa.array(cut.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    b.column("doc_id"), b.column("row"), pa.ListArray.from_arrays(cuts, pa.array(hashes(w, first, n, 0))), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32))),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ], names=["doc_id", "row", "lines", "words", "keys"])
 
     chosen = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
-    return chosen.mapInArrow(run, "doc_id long, row long, lines array<long>, words array<int>")
+    return chosen.mapInArrow(run, "doc_id long, row long, lines array<long>, words array<int>, keys array<long>")
 
 
 def _by_row(out: str, columns: tuple[str, ...], f):
-    """For mapInArrow: doc_id, row and a list of longs or ints that f makes of the columns."""
+    """For mapInArrow: doc_id, row and a list of longs that f makes of the columns, of some rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [f(*x) for x in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", out])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                b = batch.slice(lo, ROWS)
+                made = [f(*x) for x in zip(*(b.column(c).to_pylist() for c in columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "row", out])
 
     return run, f"doc_id long, row long, {out} array<long>"
 
 
-def _keys(least: int):
-    def keys(lines: list[int], words: list[int]) -> list[int]:
-        """A key of all lines together, below 0, and those of the runs."""
-        if sum(words) < least:
-            return []
-        return [-1 - runs(lines, [0] * (len(lines) - 1) + [1], 1)[0][2], *{key for _, _, key in runs(lines, words, least)}]
-
-    return _by_row("keys", ("lines", "words"), keys)
-
-
 def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b for batch in batches for b in W.slices(batch)):
             texts, counts, removed = [], [], []
             for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
@@ -234,36 +255,42 @@ def _cut(names: list[str]):
 
 def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs -> its columns, with the text that stays, and n_lines and n_removed."""
-    known = lines_of(docs).dropDuplicates(["doc_id", "row"]).checkpoint()
-    each = known.mapInArrow(*_keys(min_words)).select("doc_id", "row", F.explode("keys").alias("key"))
-    owned = each.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").select("key", "owner")
-    shared = each.join(owned, "key").filter("doc_id > owner").select("doc_id", "row", "key", "owner").checkpoint()
-    owners = known.select(F.col("doc_id").alias("owner_id"), F.col("lines").alias("owner_lines"))
+    known = lines_of(docs, min_words).dropDuplicates(["doc_id", "row"]).checkpoint()
+    each = known.select("doc_id", "row", F.explode(F.array_distinct("keys")).alias("key"))
+    n_each = known.agg(F.sum(F.size(F.array_distinct("keys")))).first()[0] or 0
+    owned = each.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("owner < last").select("key", "owner", "n")
+    shared = join_dealt(each, owned.drop("n"), "key", owned, n_each, F.col("doc_id")).filter("doc_id > owner").select("doc_id", "row", "key", "owner").checkpoint()
+    owners = known.select(F.col("doc_id").alias("owner"), F.col("lines").alias("owner_lines"))
     this = ["doc_id", "row"]
 
     def align(pairs: DataFrame) -> DataFrame:
         """Keys of the runs that are taken from doc_id, row."""
-        both = pairs.distinct().join(known, this).join(owners, F.col("owner") == F.col("owner_id")).select(*this, "owner_lines", "lines", "words")
-        found = both.mapInArrow(*_by_row("keys", ("owner_lines", "lines", "words"), lambda a, b, w: list(taken_runs(a, b, w, min_words))))
+        pairs = pairs.distinct().checkpoint()
+        both = join_dealt(pairs.join(known, this), owners, "owner", counted(pairs, "owner"), pairs.count(), F.col("doc_id")).select(*this, "owner_lines", "lines", "words", "keys")
+        found = both.mapInArrow(*_by_row("keys", ("owner_lines", "lines", "words", "keys"), lambda a, b, w, k: sorted({k[n + 1] for n in taken_runs(a, b, w, min_words)})))
         return found.select(*this, F.explode("keys").alias("key")).distinct().checkpoint()
 
     taken = align(shared.select(*this, "owner"))
     left = shared.filter("key >= 0").join(taken, [*this, "key"], "left_anti").checkpoint()
     if not left.isEmpty():
         copies = shared.filter("key < 0").select(*this)
-        holders = each.join(left.select("key").distinct(), "key", "left_semi").join(copies, this, "left_anti").select("key", F.col("doc_id").alias("holder")).distinct().checkpoint()
-        left = left.join(holders.groupBy("key").agg(F.count("*").alias("n")), "key").filter("n > 1")
-        holders = holders.join(left.select("key", "n").distinct(), "key").withColumn("place", F.pmod(F.xxhash64("holder"), F.col("n"))).drop("n").checkpoint()
+        wanted = left.select("key").distinct()
+        holders = join_dealt(each, wanted, "key", owned.select("key", "n"), n_each, F.col("doc_id")).join(copies, this, "left_anti").select("key", F.col("doc_id").alias("holder")).distinct().checkpoint()
+        n_left, of_key = left.count(), counted(left, "key")
+        sizes = counted(holders, "key").filter("n > 1")
+        left = join_dealt(left, sizes, "key", of_key, n_left, F.col("doc_id")).checkpoint()
+        n_holders = holders.count()
+        holders = join_dealt(holders, sizes.select("key", F.col("n").alias("of")), "key", sizes, n_holders, F.col("holder")).withColumn("place", F.pmod(F.xxhash64("holder"), F.col("of"))).drop("of").checkpoint()
         low, high = 0, COHORT
         while not left.isEmpty():
             cohort = holders.filter((F.col("place") >= low) & (F.col("place") < high))
-            tried = left.join(cohort, "key").filter("holder < doc_id and holder <> owner").select(*this, F.col("holder").alias("owner"))
+            tried = join_dealt(left, cohort, "key", counted(left, "key"), left.count(), F.col("doc_id")).filter("holder < doc_id and holder <> owner").select(*this, F.col("holder").alias("owner"))
             more = align(tried)
             taken = taken.union(more)
             left = left.filter(F.col("n") > high).join(more, [*this, "key"], "left_anti").checkpoint()
             low, high = high, high * 8
-    gone = taken.groupBy(*this).agg(F.collect_set("key").alias("keys")).join(known, this)
-    gone = gone.mapInArrow(*_by_row("gone", ("lines", "words", "keys"), lambda b, w, keys: places(b, w, min_words, set(keys))))
+    gone = taken.groupBy(*this).agg(F.collect_set("key").alias("taken")).join(known, this)
+    gone = gone.mapInArrow(*_by_row("gone", ("words", "keys", "taken"), lambda w, k, t: places(w, min_words, k[1:], set(t))))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
     out = docs.select(*names).join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_row")), "left").select(*names, "gone")
