@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from cadence.llm import phrases
 from cadence.llm.queries import QUERIES
 
@@ -53,3 +55,36 @@ def test_hot_passage_is_kept_once(docs_of):
     passage = " ".join(f"w{i}" for i in range(60))
     got = run(docs_of([(i, f"own{i} {passage} end{i}") for i in range(300)]), chunk_bytes=2000, bucket_bytes=4000)
     assert sum(r[2] for r in got) == 299 * 60 and min(r[2] for r in got) == 0
+
+
+def test_a_hot_shard_is_split(docs_of):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"own{i} {passage} end{i}") for i in range(200)]
+    assert run(docs_of(rows), chunk_bytes=2000, bucket_bytes=4000, part_bytes=3000) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [10, 12])
+def test_colliding_words_are_told_apart(docs_of, n):
+    a, b = "a", "b"
+    for _ in range(n):  # different words that polynomials modulo a power of two don't tell apart
+        a, b = a + b, b + a
+    rows = [(1, " ".join(f"w{i}" for i in range(12)) + f" {a}"), (2, " ".join(f"w{i}" for i in range(12)) + f" {b}")]
+    assert run(docs_of(rows)) == brute(rows) and all(r[2] == 0 for r in brute(rows))
+
+
+def test_hits_alone_decide(docs_of, monkeypatch):
+    """With letters of two bits nearly all windows look alike to the automata: what is compared afterwards keeps the result exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(40)) for _ in range(6)]
+    rows = pa.table({"shard": [0] * 12, "part": [0] * 12, "pattern": [True] * 6 + [False] * 6, "chunk": list(range(12)), "at": [0] * 12, "doc": [*range(6), *range(10, 16)], "text": pa.array([x.encode() for x in texts + texts[::-1]], pa.binary())})
+    exact = phrases.locate(rows, 13)
+    assert exact.num_rows == 6
+    monkeypatch.setattr(phrases, "_letters", lambda h: np.uint32(0x10000) + (h >> np.uint64(63)).astype(np.uint32))
+    assert phrases.locate(rows, 13).equals(exact)
+    monkeypatch.setattr(phrases, "AUTOMATON_PATTERNS", 7)
+    monkeypatch.setattr(phrases, "STREAM_WORDS", 50)
+    assert phrases.locate(rows, 13).equals(exact)
+    assert phrases.locate(rows.filter(pa.array([False] * 6 + [True] * 6)), 13).num_rows == 0
