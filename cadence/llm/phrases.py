@@ -16,7 +16,7 @@ Documents are dealt into chunks of some MB by a hash of id and text; a chunk is
    through the automaton. A hit counts if its 13 words agree with the pattern's in 128 bits and the pattern's document is earlier.
 4. The hits return to the chunk, and what they cover is cut.
 
-A letter of an automaton is a word, by 20 bits of its hash. A chunk's message to a bucket is one binary value for all
+A word stands in the automata as a letter, by six bits of its hash. A chunk's message to a bucket is one binary value for all
 keys, there are no more messages than keys, and none is looked at by itself in Python, so all grows with the input. A passage that any
 share of the documents holds is sent once per chunk for confirmation; a shard whose seeds very many documents hold is
 split into parts, each of which compiles its patterns.
@@ -40,7 +40,7 @@ from . import words as W
 WINDOW, SEED = 13, 6
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: Patterns of one automaton, and bytes of documents that are streamed in one part of a shard.
-AUTOMATON_PATTERNS, PART_BYTES = 50_000, 16 << 20
+AUTOMATON_PATTERNS, PART_BYTES = 100_000, 16 << 20
 #: Words that go through an automaton at once.
 STREAM_WORDS = 200_000
 _LAST = np.iinfo(np.int64).max
@@ -111,7 +111,7 @@ class Chunk:
             x = runs[self.begins + k]
             less = x < least
             least[less], self.at_seed[less] = x[less], self.begins[less] + k
-        self.seeds, self.of_window = np.unique(least, return_inverse=True)
+        self.seeds, self.of_window = np.unique(W.mix(least), return_inverse=True)  # mixed again, as least hashes are small ones
 
     def seed_repeats(self) -> np.ndarray:
         """For each different seed: it occurs in two documents of this chunk."""
@@ -245,7 +245,8 @@ def _send_pieces(window: int, buckets: int):
 
 
 def _letters(h: np.ndarray) -> np.ndarray:
-    return np.uint32(0x10000) + (h >> np.uint64(44)).astype(np.uint32)
+    """One of 64 letters for each word: no node has many children, and 13 of them tell windows apart well enough to be compared then."""
+    return np.uint32(0x100) + (h >> np.uint64(58)).astype(np.uint32)
 
 
 class Pieces:
@@ -269,27 +270,27 @@ def locate(rows: pa.Table, window: int) -> pa.Table:
         return _table(HITS, [])
     p, t = Pieces(known, window), Pieces(texts, window)
     # a letter that no pattern has stands between two pieces
-    first, letters = t.words.first, _letters(t.hash)
-    gaps = np.arange(len(letters)) + np.repeat(np.arange(texts.num_rows), t.words.count)
-    line = np.ones(len(letters) + texts.num_rows, np.uint32)
-    line[gaps] = letters
+    first, n = t.words.first, len(t.hash)
+    gapped = np.arange(n) + np.repeat(np.arange(texts.num_rows), t.words.count)
+    line = np.ones(n + texts.num_rows, np.uint32)
+    line[gapped] = _letters(t.hash)
     back = np.full(len(line), -1)
-    back[gaps] = np.arange(len(letters))
+    back[gapped] = np.arange(n)
     stream, source = line.tobytes().decode("utf-32-le"), _letters(p.hash).tobytes().decode("utf-32-le")
-    hit = np.zeros(len(letters), bool)
+    spelt = lambda at: source[at : at + window]
+    hit = np.zeros(n, bool)
     for lo in range(0, len(p.begins), AUTOMATON_PATTERNS):
         begins = p.begins[lo : lo + AUTOMATON_PATTERNS]
         automaton, alike = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
         for i, at in enumerate(begins.tolist()):
-            text = source[at : at + window]
-            if not automaton.add_word(text, i):  # the letters agree with those of another one, which it has taken the place of
+            if not automaton.add_word(spelt(at), i):  # the letters agree with those of another one, which it has taken the place of
                 alike.append(at)
         automaton.make_automaton()
         by_letters: dict[str, list[int]] = {}
-        wanted = {source[at : at + window] for at in alike}
+        wanted = {spelt(at) for at in alike}
         for at in begins.tolist() if wanted else ():
-            if source[at : at + window] in wanted:
-                by_letters.setdefault(source[at : at + window], []).append(at)
+            if spelt(at) in wanted:
+                by_letters.setdefault(spelt(at), []).append(at)
         k = 0
         while k < texts.num_rows:
             # whole pieces, some words at a time
@@ -299,7 +300,7 @@ def locate(rows: pa.Table, window: int) -> pa.Table:
             real = (t.a[here] == p.a[there]) & (t.b[here] == p.b[there]) & (t.doc[here] > p.doc[there])
             hit[here[real]] = True
             for x, y in zip(here.tolist(), there.tolist(), strict=True) if wanted else ():  # few: all patterns of the same letters
-                for at in by_letters.get(source[y : y + window], ()):
+                for at in by_letters.get(spelt(y), ()):
                     hit[x] |= bool(t.a[x] == p.a[at] and t.b[x] == p.b[at] and t.doc[x] > p.doc[at])
             k = to
     some = np.flatnonzero(np.add.reduceat(hit, first[:-1]) > 0)
