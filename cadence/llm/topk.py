@@ -11,7 +11,8 @@ Each cell gives at most k rows for a query, of which the best k overall are the
 Cases: vectors that are null, or hold null or non-finite components, and rows with a null id take no part; an empty
 vector, or missing dimensions of a shorter one, count as 0; ties go to the smaller id; of query rows with one id
 the least vector asks; candidate rows that repeat are found as often as they stand there, but never a row
-with the query's own id; a table without rows gives no rows; further columns don't matter.
+with the query's own id; a component beyond the range of a long counts as the largest or least long; scores beyond it are compared as they
+are within a cell, and given as the largest or least long; a table without rows gives no rows; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 TOP, SCALE = 5, 256
 QUERY_BLOCK, CANDIDATE_BLOCK, DIMENSION_BLOCK = 1024, 8192, 16
+LONGEST = (1 << 63) - 1
 
 BLOCK = "block long, n int, dims int, ids binary, columns binary"
 FOUND = "query_id long, vec_id long, score long"
@@ -61,8 +63,9 @@ def _unpack(n: int, dims: int, ids: bytes, columns: bytes, to: int) -> tuple[np.
 def search(query: np.ndarray, query_ids: np.ndarray, candidate: np.ndarray, ids: np.ndarray, k: int, step: int = DIMENSION_BLOCK) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its best k candidates. Both matrices are (dimensions, vectors)."""
     dims = len(query)
-    most = float(np.abs(query).max(initial=0)) * float(np.abs(candidate).max(initial=0)) * max(dims, 1)
-    kind = np.float64 if most < 2**53 else np.int64  # sums of whole numbers are exact either way
+    most = float(np.abs(query.astype(np.float64)).max(initial=0)) * float(np.abs(candidate.astype(np.float64)).max(initial=0)) * max(dims, 1)
+    # sums of whole numbers are exact in each of these; the last is slow, and seldom needed
+    kind = np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
     q, c = query.astype(kind), candidate.astype(kind)
     cuts = list(range(0, dims, step)) or [0]
     # what is left of each length after each block of dimensions, rounded up
@@ -74,18 +77,22 @@ def search(query: np.ndarray, query_ids: np.ndarray, candidate: np.ndarray, ids:
         alive = np.flatnonzero(ids != query_ids[i])
         total = first[i, alive]
         if len(alive) > k:
-            lead = np.argpartition(-total, k - 1)[:k]
+            lead = np.argsort(-total)[:k] if kind is object else np.argpartition(-total, k - 1)[:k]
             bound = (total[lead] + q[step:, i] @ c[step:, alive[lead]]).min()
             for b, lo in enumerate(cuts):
                 if b:
                     total = total + q[lo : lo + step, i] @ c[lo : lo + step, alive]
-                keep = total + q_left[b, i] * c_left[b, alive] >= bound - 0.5
+                keep = (total + q_left[b, i] * c_left[b, alive]).astype(np.float64) >= float(bound) - 0.5 - 1e-9 * abs(float(bound))
                 alive, total = alive[keep], total[keep]
         else:
             for lo in cuts[1:]:
                 total = total + q[lo : lo + step, i] @ c[lo : lo + step, alive]
-        best = np.lexsort((ids[alive], -total))[:k]
-        out.append((ids[alive[best]], total[best].astype(np.int64)))
+        if kind is object:
+            best = np.array(sorted(range(len(alive)), key=lambda j: (-total[j], ids[alive[j]]))[:k], np.int64)
+            out.append((ids[alive[best]], np.array([max(-LONGEST - 1, min(LONGEST, int(x))) for x in total[best]], np.int64)))
+        else:
+            best = np.lexsort((ids[alive], -total))[:k]
+            out.append((ids[alive[best]], total[best].astype(np.int64)))
     return out
 
 

@@ -56,3 +56,16 @@ def test_grid_of_blocks(spark, monkeypatch):
 def test_no_rows(spark):
     d = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(d, d).count() == 0
+
+
+def test_scores_beyond_a_long(spark):
+    most = (1 << 63) - 1
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 5.0]), (3, [1e30, 3.0]), (4, [0.0, 4.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(d.filter("vec_id = 0"), d).orderBy("rank").collect()]
+    assert sorted(got[:2]) == [(1, most), (3, most)] and got[2:] == [(4, 256 * 1024), (2, -most - 1)]
+    rng = np.random.default_rng(4)
+    c = rng.integers(-(1 << 62), 1 << 62, (40, 300))
+    for i, (found, _) in enumerate(topk.search(c[:, :4], np.arange(4), c, np.arange(300), 5)):
+        scores = c[:, i].astype(object) @ c.astype(object)
+        assert found.tolist() == sorted((j for j in range(300) if j != i), key=lambda j: (-scores[j], j))[:5]
