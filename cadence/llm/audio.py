@@ -167,8 +167,9 @@ def _rows(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         yield b, [raw[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def store_payload(rows: DataFrame, column: str = "text", key: str = "doc_id", codec: int | None = None) -> DataFrame:
-    """The key, n_bytes (of the payload before padding) and media (the WAV file that holds it)."""
+def store_payload(rows: DataFrame, column: str = "text", key: str = "doc_id", codec: int | None = None, rate: int = STORED_RATE) -> DataFrame:
+    """The key, n_bytes (of the payload before padding), media (the WAV file that holds it), codec, rate and pcm: what the file
+    decodes to, as 16-bit little-endian samples at the stored rate."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +177,18 @@ def store_payload(rows: DataFrame, column: str = "text", key: str = "doc_id", co
             for b, raw in _rows(batch, "payload"):
                 full = [padded(x) for x in raw]
                 media = [wav(x, codec or codec_for(x)) for x in full]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=[key, "n_bytes", "media"])
+                codecs, pcm = _stored(media, rate)
+                made = [pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), codecs, pa.array([rate] * len(raw), pa.int32()), pcm]
+                yield pa.RecordBatch.from_arrays([b.column("id"), *made], names=[key, "n_bytes", "media", "codec", "rate", "pcm"])
 
-    return rows.selectExpr(f"`{key}` AS id", f"`{column}` AS payload").mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+    return rows.selectExpr(f"`{key}` AS id", f"`{column}` AS payload").mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary, codec string, rate int, pcm binary")
+
+
+def _stored(media: list[bytes], rate: int) -> tuple[pa.Array, pa.Array]:
+    """Codec, and PCM at the stored rate, of each file."""
+    parts = [parse_wav(x) for x in media]
+    pcm = [resample(x, r, rate).astype("<i2").tobytes() for x, (_, r, _) in zip(decode([(c, p) for c, _, p in parts]), parts, strict=True)]
+    return pa.array([CODECS[c] for c, _, _ in parts], pa.string()), pa.array(pcm, pa.binary())
 
 
 def decode_media(media: DataFrame, key: str = "doc_id", rate: int = STORED_RATE) -> DataFrame:
@@ -188,9 +198,8 @@ def decode_media(media: DataFrame, key: str = "doc_id", rate: int = STORED_RATE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, raw in _rows(batch, "media"):
-                parts = [parse_wav(x) for x in raw]
-                pcm = [resample(x, r, rate).astype("<i2").tobytes() for x, (_, r, _) in zip(decode([(c, p) for c, _, p in parts]), parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([CODECS[c] for c, _, _ in parts]), pa.array([rate] * len(raw), pa.int32()), pa.array(pcm, pa.binary())], names=[key, "codec", "rate", "pcm"])
+                codecs, pcm = _stored(raw, rate)
+                yield pa.RecordBatch.from_arrays([b.column("id"), codecs, pa.array([rate] * len(raw), pa.int32()), pcm], names=[key, "codec", "rate", "pcm"])
 
     return media.selectExpr(f"`{key}` AS id", "media").mapInArrow(run, f"`{key}` {kind}, codec string, rate int, pcm binary")
 
@@ -198,21 +207,20 @@ def decode_media(media: DataFrame, key: str = "doc_id", rate: int = STORED_RATE)
 DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digest(media: DataFrame, key: str = "doc_id", rate: int = STORED_RATE) -> DataFrame:
-    """Reads the stored files back: sizes and hashes of payload and file, and a feature of the resampled PCM."""
-    kind = media.schema[key].dataType.simpleString()
+def digest(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Reads what is stored back: sizes and hashes of payload and file, and a feature of the stored PCM."""
+    kind = stored.schema[key].dataType.simpleString()
     names = [key, *(x.split()[0] for x in DIGEST.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, raw in _rows(batch, "media"):
-                parts = [parse_wav(x) for x in raw]
-                pcm = decode([(c, p) for c, _, p in parts])
-                out = [
-                    (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), feature(c, resample(y, r, rate)))
-                    for x, (c, r, p), y in zip(raw, parts, pcm, strict=True)
-                ]
+                out = []
+                for x, samples in zip(raw, b.column("pcm"), strict=True):
+                    codec, _, p = parse_wav(x)
+                    pcm = np.frombuffer(samples.as_buffer(), "<i2")
+                    out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(x), hashlib.sha256(x).hexdigest(), feature(codec, pcm)))
                 made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), *made], names=names)
 
-    return media.selectExpr(f"`{key}` AS id", "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, {DIGEST}")
+    return stored.selectExpr(f"`{key}` AS id", "n_bytes", "media", "pcm").mapInArrow(run, f"`{key}` {kind}, {DIGEST}")

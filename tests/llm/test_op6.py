@@ -61,3 +61,20 @@ def test_stored_pcm(odd):
     assert audio.digest(audio.store_payload(odd.filter("false"))).count() == 0
     with pytest.raises(ValueError):
         audio.parse_wav(b"x" * 100)
+
+
+def test_stored_pcm_is_what_the_file_decodes_to(spark, sf):
+    stored = audio.store_payload(spark.read.parquet(f"{sf}/documents.parquet"))
+    of_files = audio.decode_media(stored.select("doc_id", "media"))
+    assert stored.select("doc_id", "codec", "rate", "pcm").exceptAll(of_files).count() == 0 and of_files.count() == stored.count()
+    for r in stored.limit(40).collect():
+        codec, rate, payload = audio.parse_wav(r.media)
+        if codec == audio.ADPCM:
+            pcm = [x for i in range(0, len(payload), audio.UNIT) for x in slow_adpcm(payload[i : i + audio.UNIT])]
+        else:
+            pcm = [int(audio.EXPAND[codec][x]) for x in payload]
+        own = []
+        for i in range(-(-len(pcm) * 16000 // rate)):
+            left, part = divmod(i * rate, 16000)
+            own.append((pcm[left] * (16000 - part) + pcm[min(left + 1, len(pcm) - 1)] * part + 8000) // 16000 if rate != 16000 else pcm[left])
+        assert np.frombuffer(r.pcm, "<i2").tolist() == own
