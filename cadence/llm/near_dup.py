@@ -182,18 +182,19 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     total = own.agg(F.sum("n")).first()[0] or 0
     place = F.row_number().over(Window.partitionBy("unit").orderBy("df", "shingle")) - 1
     placed = join_dealt(rows, often, "shingle", often.select("shingle", F.col("df").alias("n")), total, F.col("unit")).withColumn("place", place)
-    prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place")
-    most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
-    prefix = prefix.join(most.select("shingle", "main"), "shingle")
-    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("unit", "root", "n", "place", "main"))) for s in "ab")
+    prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place").checkpoint()
+    n_prefix = prefix.count()
+    most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("kinds"))
+    most = most.filter("kinds > 1").select("shingle", "main", "n").checkpoint()
+    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("unit", "root", "n", "place"))) for s in "ab")
+    x = join_dealt(x, most.select("shingle", "main"), "shingle", most, n_prefix, F.col("a_unit")).filter("a_root <> main").drop("main")
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     fits = (
         (F.col("a_root") != F.col("b_root"))
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         & ((100 + percent) * rest >= percent * (F.col("a_n") + F.col("b_n")))
     )
-    z = y.withColumnRenamed("shingle", "of_b")
-    met = x.filter("a_root <> a_main").join(z, (F.col("shingle") == F.col("of_b")) & fits)
+    met = join_dealt(y, x, "shingle", most, n_prefix, F.col("b_unit")).filter(fits)
     return met.select(F.least("a_unit", "b_unit").alias("a"), F.greatest("a_unit", "b_unit").alias("b")).distinct()
 
 
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     # buckets that still hold several components
     known = found.select("child", F.col("parent").alias("root"))
     placed = members.join(known, F.col("node") == F.col("child"), "left").select("band", "unit", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("band", "n")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("band", "n").checkpoint()
     open_ = join_dealt(placed, mixed.drop("n"), "band", mixed, members.count(), F.col("unit")).select("unit", "root").distinct()
     more = verify(prefix_pairs(sets, open_, percent), sets, percent).checkpoint()
     if more.limit(1).count():

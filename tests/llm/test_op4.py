@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cadence.llm import near_dup
+from cadence.llm import hot, near_dup
 from cadence.llm.components import components, unite
 from cadence.llm.queries import QUERIES
 
@@ -104,3 +104,16 @@ def test_texts_of_colliding_words_are_not_linked(docs_of, n):
     rows = [(1, " ".join(f"w{i}" for i in range(11)) + f" {a}"), (2, " ".join(f"w{i}" for i in range(11)) + f" {b}")]
     rows += [(3, f"x {a} y"), (4, f"x {b} y")]
     assert run(docs_of(rows), 3, 85) == brute(rows, 3, 85)
+
+
+def test_hot_buckets_and_shingles(docs_of, monkeypatch):
+    monkeypatch.setattr(hot, "SHARES", 9)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(90):
+        words = list(base)
+        for _ in range(rng.choice([0, 0, 1, 3, 5])):
+            words[rng.randrange(60)] = f"v{rng.randint(0, 30)}"
+        rows.append((d, " ".join(words)))
+    assert run(docs_of(rows), 3, 85) == brute(rows, 3, 85)
