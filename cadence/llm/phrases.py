@@ -228,11 +228,12 @@ def _send_pieces(window: int, buckets: int):
         data, starts, ends = c.words.data.tobytes(), c.words.starts, c.words.ends
         doc = c.ids[c.owner[c.begins]]
         mine = own[c.of_window] & (doc == c.first[c.of_window]) if len(c.begins) else np.zeros(0, bool)
+        rest = np.flatnonzero(~mine)  # what the first document of all holds can't go from there
         if mine.any():  # each confirmed window once
             _, once = np.unique(np.where(mine, c.of_window, -1), return_index=True)
             mine[np.setdiff1d(np.flatnonzero(mine), once)] = False
         out = []
-        for pattern, chosen in ((True, np.flatnonzero(mine)), (False, np.arange(len(c.begins)))):
+        for pattern, chosen in ((True, np.flatnonzero(mine)), (False, rest)):
             w, lo, hi = c.stretches(chosen, shard, window)
             texts = [data[i:j] for i, j in zip(starts[lo].tolist(), ends[hi - 1].tolist(), strict=True)]
             n = parts[w] if pattern else np.ones(len(w), np.int64)
