@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import forget
+
 LINK = "child long, parent long"
 
 
@@ -62,5 +64,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
         low = large.groupBy("child").agg(F.min("parent").alias("m"))
         small = large.join(low, "child").filter("parent > m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))
-        e = small.union(low.select("child", F.col("m").alias("parent"))).distinct().checkpoint()
+        before, e = e, small.union(low.select("child", F.col("m").alias("parent"))).distinct().checkpoint()
+        forget(before)
     raise RuntimeError("components have not settled")

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .hot import counted, join_dealt
+from .scratch import forget
 
 MIN_WORDS = 5
 #: Holders of a run that are tried after the earliest one; each further cohort is eight times as large.
@@ -268,7 +269,9 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
         pairs = pairs.distinct().checkpoint()
         both = join_dealt(pairs.join(known, this), owners, "owner", counted(pairs, "owner"), pairs.count(), F.col("doc_id")).select(*this, "owner_lines", "lines", "words", "keys")
         found = both.mapInArrow(*_by_row("keys", ("owner_lines", "lines", "words", "keys"), lambda a, b, w, k: sorted({k[n + 1] for n in taken_runs(a, b, w, min_words)})))
-        return found.select(*this, F.explode("keys").alias("key")).distinct().checkpoint()
+        out = found.select(*this, F.explode("keys").alias("key")).distinct().checkpoint()
+        forget(pairs)
+        return out
 
     taken = align(shared.select(*this, "owner"))
     left = shared.filter("key >= 0").join(taken, [*this, "key"], "left_anti").checkpoint()
@@ -287,11 +290,14 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
             tried = join_dealt(left, cohort, "key", counted(left, "key"), left.count(), F.col("doc_id")).filter("holder < doc_id and holder <> owner").select(*this, F.col("holder").alias("owner"))
             more = align(tried)
             taken = taken.union(more)
-            left = left.filter(F.col("n") > high).join(more, [*this, "key"], "left_anti").checkpoint()
+            before, left = left, left.filter(F.col("n") > high).join(more, [*this, "key"], "left_anti").checkpoint()
+            forget(before)
             low, high = high, high * 8
+        forget(holders)
     gone = taken.groupBy(*this).agg(F.collect_set("key").alias("taken")).join(known, this)
     gone = gone.mapInArrow(*_by_row("gone", ("words", "keys", "taken"), lambda w, k, t: places(w, min_words, k[1:], set(t))))
-    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone").checkpoint()
+    forget(known, shared)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
     out = docs.select(*names).join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_row")), "left").select(*names, "gone")
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)

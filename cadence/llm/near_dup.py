@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .hot import counted, join_dealt
+from .scratch import forget
 
 SHINGLE, THRESHOLD = 5, 80  # percent
 BAND_ROWS, MISS = 4, 1e-6
@@ -223,8 +224,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     sets = full_sets(docs, nodes.join(met, "unit").select("unit", "node", "set_a", "set_b"), size).checkpoint()
     about = nodes.select("unit", "n", "marks")
     a, b = (about.select(F.col("unit").alias(f"{x}_unit"), F.col("n").alias(f"{x}_n"), F.col("marks").alias(f"{x}_marks")) for x in "ab")
-    stars = members.filter("unit <> lead").select(F.col("lead").alias("a"), F.col("unit").alias("b")).distinct().checkpoint()
-    stars = join_dealt(stars.join(b, F.col("b") == F.col("b_unit")), a.withColumnRenamed("a_unit", "a"), "a", counted(stars, "a"), stars.count(), F.col("b"))
+    pairs = members.filter("unit <> lead").select(F.col("lead").alias("a"), F.col("unit").alias("b")).distinct().checkpoint()
+    stars = join_dealt(pairs.join(b, F.col("b") == F.col("b_unit")), a.withColumnRenamed("a_unit", "a"), "a", counted(pairs, "a"), pairs.count(), F.col("b"))
     found = components(verify(_similar(stars, percent), sets, percent))
 
     # buckets that still hold several components
@@ -236,9 +237,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHO
     if more.limit(1).count():
         found = components(found.select(F.col("child").alias("a"), F.col("parent").alias("b")).union(more))
 
-    groups = nodes.join(found, F.col("node") == F.col("child"), "left").select("set_a", F.col("set_b").alias("b"), F.coalesce("parent", "node").alias("of_set"), F.col("copies").alias("n"))
+    groups = nodes.join(found, F.col("node") == F.col("child"), "left").select("set_a", F.col("set_b").alias("b"), F.coalesce("parent", "node").alias("of_set"), F.col("copies").alias("n")).checkpoint()
+    of_rows = signed.select("doc_id", "n_shingles", "set_a", "set_b").checkpoint()
+    n_rows = of_rows.count()
+    forget(members, sets, pairs, mixed, more, nodes, signed)
+    named, alone = of_rows.filter("n_shingles > 0 and doc_id is not null"), of_rows.filter("n_shingles = 0 or doc_id is null")
     # a set with many copies is dealt; sets that agree in 64 bits of 128 are told apart after the join
-    both = join_dealt(named.select("doc_id", "n_shingles", "set_a", "set_b"), groups.drop("n"), "set_a", groups.groupBy("set_a").agg(F.sum("n").alias("n")), signed.count(), F.col("doc_id")).filter("set_b = b")
+    both = join_dealt(named, groups.drop("n"), "set_a", groups.groupBy("set_a").agg(F.sum("n").alias("n")), n_rows, F.col("doc_id")).filter("set_b = b")
     linked = both.select("doc_id", "n_shingles", F.col("of_set").alias("component_id"))
-    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return linked.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
