@@ -1,9 +1,10 @@
 """Connected components of links that no single task holds.
 
 Each task first unites its own links (union-find, path halving), so a dense group sends one link per
-node. Then stars are contracted over the whole table: all larger neighbours of a node are linked to its
-least neighbour, then all smaller ones, until every node hangs on the root of its component. Each round
-is written to the checkpoint folder, so that a lost executor costs one round at most.
+node. What is left is dealt to as few tasks as TASK_LINKS allows, which unite it once more. Then stars are
+contracted over the whole table: all larger neighbours of a node are linked to its least neighbour, then all
+smaller ones, until every node hangs on the root of its component. Each round is written to the checkpoint
+folder, so that a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .scratch import forget
 
 LINK = "child long, parent long"
+#: Links that a task unites at once: this bounds its memory, at any number of links.
+TASK_LINKS = 1_000_000
 
 
 def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,16 +47,19 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     child, parent = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for b in batches:
         child, parent = unite(np.concatenate([child, b.column(0).to_numpy()]), np.concatenate([parent, b.column(1).to_numpy()]))
-        if len(child) > 1_000_000:  # what is united so far leaves the task
+        if len(child) > TASK_LINKS:  # what is united so far leaves the task
             yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["child", "parent"])
             child, parent = child[:0], parent[:0]
     yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(parent)], names=["child", "parent"])
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, task_links: int = TASK_LINKS) -> DataFrame:
     """links(a, b), neither null -> child, parent: each linked node but the least of its component, and that least one."""
     e = links.select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent")).filter("child > parent")
-    e = e.mapInArrow(_local, LINK).distinct().checkpoint()
+    own = e.mapInArrow(_local, LINK).checkpoint()
+    tasks = max(1, -(-own.count() // task_links))  # no step below adds links
+    e = own.coalesce(tasks).mapInArrow(_local, LINK).distinct().coalesce(tasks).checkpoint()
+    forget(own)
     for _ in range(rounds):
         state = e.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
         roots = e.select(F.col("parent").alias("p")).distinct()
@@ -64,6 +70,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("child"), F.col("m").alias("parent")).distinct()
         low = large.groupBy("child").agg(F.min("parent").alias("m"))
         small = large.join(low, "child").filter("parent > m").select(F.col("parent").alias("child"), F.col("m").alias("parent"))
-        before, e = e, small.union(low.select("child", F.col("m").alias("parent"))).distinct().checkpoint()
+        before, e = e, small.union(low.select("child", F.col("m").alias("parent"))).distinct().coalesce(tasks).checkpoint()
         forget(before)
     raise RuntimeError("components have not settled")

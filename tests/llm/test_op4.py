@@ -72,6 +72,8 @@ def test_components(spark):
     got = {r.child: r.parent for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     child, root = unite(*np.array(edges, np.int64).T)
     assert got == dict(zip(child.tolist(), root.tolist(), strict=True)) and got[1200] == 1000 and got[2299] == 2000
+    few = components(spark.createDataFrame(edges, "a long, b long").repartition(7), task_links=40)  # no task sees all links
+    assert got == {r.child: r.parent for r in few.collect()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
