@@ -174,16 +174,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of units under different roots that may reach the threshold; roots(unit, root) are those to look at.
 
-    Of two sets that reach it, the first shingle that they share in an order from rare to frequent lies in both their
-    prefixes, and what follows it in either is no less than what must be shared.
+    Sets are ordered from shingles that stand under one root only, which no such pair shares, on to the others, from rare to
+    frequent. Of two sets that reach it, the first shingle that they share lies in both their prefixes, and what
+    follows it in either is no less than what must be shared. So only the others have to be placed one by one.
     """
     own = sets.join(roots, "unit")
     rows = own.select("unit", "root", "n", F.explode("shingles").alias("shingle"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crossing = often.filter("low < high").select("shingle", "df")
     total = own.agg(F.sum("n")).first()[0] or 0
-    place = F.row_number().over(Window.partitionBy("unit").orderBy("df", "shingle")) - 1
-    placed = join_dealt(rows, often, "shingle", often.select("shingle", F.col("df").alias("n")), total, F.col("unit")).withColumn("place", place)
-    prefix = placed.filter((100 * (F.col("n") - F.col("place")) >= percent * F.col("n")) & (F.col("low") < F.col("high"))).select("shingle", "unit", "root", "n", "place").checkpoint()
+    of_unit = Window.partitionBy("unit")
+    place = F.col("n") - F.count("*").over(of_unit) + F.row_number().over(of_unit.orderBy("df", "shingle")) - 1
+    placed = join_dealt(rows, crossing, "shingle", crossing.withColumnRenamed("df", "n"), total, F.col("unit")).withColumn("place", place)
+    prefix = placed.filter(100 * (F.col("n") - F.col("place")) >= percent * F.col("n")).select("shingle", "unit", "root", "n", "place").checkpoint()
     n_prefix = prefix.count()
     most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("kinds"))
     most = most.filter("kinds > 1").select("shingle", "main", "n").checkpoint()
