@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .hot import counted, join_dealt
-from .scratch import forget
+from .scratch import forget, tidy
 
 MIN_WORDS = 5
 #: Holders of a run that are tried after the earliest one; each further cohort is eight times as large.
@@ -254,6 +254,7 @@ def _cut(names: list[str]):
     return run
 
 
+@tidy
 def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs -> its columns, with the text that stays, and n_lines and n_removed."""
     known = lines_of(docs, min_words).dropDuplicates(["doc_id", "row"]).checkpoint()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .components import components
 from .hot import counted, join_dealt
-from .scratch import forget
+from .scratch import forget, tidy
 
 SHINGLE, THRESHOLD = 5, 80  # percent
 BAND_ROWS, MISS = 4, 1e-6
@@ -211,6 +211,7 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (same >= least)).select("a", "b")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     signed = signatures(docs, size, percent).checkpoint()
