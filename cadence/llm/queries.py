@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, html, line_dedup, mixing, near_dup, packing, phrases, quality, topk, unigram
+from . import audio, divergence, html, line_dedup, mixing, near_dup, packing, phrases, quality, topk, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,11 +79,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_phrases, op2_mix_sources, op3_branch_and_bound, op4_super_minhash, op5_quality_rules, op6_telephony_audio,
         op7_best_fit_packing, op8_pairwise_alignment, op9_site_style_tree, op10_token_counts,
+        op12_distribution_divergence,
     )
 }
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_branch_and_bound": topk.ORACLE_SQL}
+ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_branch_and_bound": topk.ORACLE_SQL, "op12_distribution_divergence": divergence.ORACLE_SQL}
