@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, divergence, html, line_dedup, mixing, near_dup, packing, phrases, quality, topk, unigram
+from . import audio, divergence, html, line_dedup, mixing, near_dup, packing, periods, phrases, quality, topk, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,12 +84,17 @@ def op12_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return periods.digest(periods.collapse(docs.select("doc_id", periods.with_repeats(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repeated_phrases, op2_mix_sources, op3_branch_and_bound, op4_super_minhash, op5_quality_rules, op6_telephony_audio,
         op7_best_fit_packing, op8_pairwise_alignment, op9_site_style_tree, op10_token_counts,
-        op12_distribution_divergence,
+        op12_distribution_divergence, op13_periodic_runs,
     )
 }
 ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_branch_and_bound": topk.ORACLE_SQL, "op12_distribution_divergence": divergence.ORACLE_SQL}
