@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, divergence, html, line_dedup, mixing, near_dup, packing, periods, phrases, quality, topk, unigram
+from . import anchors, audio, divergence, html, line_dedup, mixing, near_dup, packing, periods, phrases, quality, topk, unigram
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_anchor_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    rows = anchors.with_noise(table(spark, sf_dir, "embeddings"))
+    return anchors.mine(rows.filter("vec_id % 50 = 0"), rows)
+
+
 def op12_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return divergence.judge(table(spark, sf_dir, "documents"))
@@ -94,7 +100,7 @@ QUERIES = {
     for f in (
         op1_repeated_phrases, op2_mix_sources, op3_branch_and_bound, op4_super_minhash, op5_quality_rules, op6_telephony_audio,
         op7_best_fit_packing, op8_pairwise_alignment, op9_site_style_tree, op10_token_counts,
-        op12_distribution_divergence, op13_periodic_runs,
+        op11_anchor_tree_negatives, op12_distribution_divergence, op13_periodic_runs,
     )
 }
-ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_branch_and_bound": topk.ORACLE_SQL, "op12_distribution_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL = {"op2_mix_sources": mixing.ORACLE_SQL, "op3_branch_and_bound": topk.ORACLE_SQL, "op11_anchor_tree_negatives": anchors.ORACLE_SQL, "op12_distribution_divergence": divergence.ORACLE_SQL}
