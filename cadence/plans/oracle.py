@@ -233,6 +233,23 @@ SQL: dict[str, str] = {
     "map_recordings": """SELECT doc_id AS recording_id, CASE WHEN length(text) >= 100 THEN length(text) END AS n, CASE WHEN length(text) >= 100 THEN 'align-' || lang END AS aligner,
         CASE WHEN length(text) >= 100 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN length(text) < 100 THEN 'ValueError: too short' END AS error FROM documents""",
 }
+#: The watermark is the greatest time less an hour, in whole milliseconds; a gap of twelve hours interrupts an attempt.
+SQL["stream_stuck_jobs"] = """
+WITH e AS (SELECT user_id AS job_id, event_id AS seq, epoch_us(ts) AS us, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'view' THEN 'progress'
+    WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS kind, CASE event_id % 4 WHEN 0 THEN 'download' WHEN 1 THEN 'vocal_isolation' WHEN 2 THEN 'transcription_alignment'
+    ELSE 'prosody_analysis' END AS stage, (epoch_ms(max(ts) OVER ()) - 3600000) * 1000 AS mark FROM events),
+d AS (SELECT *, count_if(kind <> 'progress') OVER o AS part, lead(us) OVER (PARTITION BY job_id ORDER BY us, seq) AS later FROM e WHERE us <= mark WINDOW o AS (PARTITION BY job_id ORDER BY us, seq)),
+g AS (SELECT *, coalesce(later - 1, mark) - us >= 43200000000 AS gap FROM d),
+s AS (SELECT job_id, part, arg_min(kind, (us, seq)) AS opens, arg_min(stage, (us, seq)) AS opens_stage, min(CASE WHEN gap THEN us END) AS cut FROM g GROUP BY ALL),
+p AS (SELECT g.job_id, part, max(us) AS moved, arg_max(stage, (us, seq)) AS stage FROM g JOIN s USING (job_id, part) WHERE kind = 'progress' AND opens = 'started' AND us <= coalesce(cut, us) GROUP BY ALL),
+newest AS (SELECT s.*, p.stage AS moved_to FROM s LEFT JOIN p USING (job_id, part) QUALIFY row_number() OVER (PARTITION BY s.job_id ORDER BY part DESC) = 1),
+n AS (SELECT job_id, count(*) AS n_events, count_if(kind = 'started') AS attempts, max(us) AS seen_us,
+    arg_max(CASE WHEN kind = 'failed' THEN 'failed in ' || stage ELSE '' END, (us, seq)) FILTER (kind IN ('started', 'completed', 'failed')) AS error FROM g GROUP BY 1),
+x AS (SELECT job_id, count_if(opens = 'started' AND cut IS NOT NULL) AS interruptions FROM s GROUP BY 1)
+SELECT job_id, CASE WHEN opens = 'started' THEN CASE WHEN cut IS NULL THEN 'processing' ELSE 'interrupted' END WHEN opens IN ('completed', 'failed') THEN opens ELSE 'queued' END AS status,
+  CASE opens WHEN 'started' THEN coalesce(moved_to, 'initializing') WHEN 'completed' THEN 'finished' WHEN 'failed' THEN opens_stage ELSE 'waiting' END AS stage,
+  CAST(attempts AS BIGINT) AS attempts, nullif(error, '') AS error, n_events, CAST(interruptions AS BIGINT) AS interruptions, seen_us
+FROM newest JOIN n USING (job_id) JOIN x USING (job_id)"""
 SQL["stream_fold_progress"] = SQL["fold_progress"]
 SQL["stream_lifecycle"], SQL["stream_admission"], SQL["manifest_files"] = SQL["lifecycle"], SQL["admit_jobs"], SQL["manifest_index"]
 SQL["caption_events"] = CAPTION_EVENTS + "SELECT recording_id, grp, line, pos, event FROM events_of"

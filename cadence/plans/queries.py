@@ -305,6 +305,18 @@ def stream_lifecycle(i: Inputs) -> DataFrame:
     return jobs.run_to_table(jobs.lifecycle_updates(i.job_events(_event_stream(i))), f"{folder}/state", f"{folder}/stream", "job_id")
 
 
+#: Seconds of silence that interrupt a job, and seconds that events may be late.
+SILENCE, LATE = 43_200, 3_600
+
+
+@query
+def stream_stuck_jobs(i: Inputs) -> DataFrame:
+    """The lifecycle with timers: jobs that are under way and silent are interrupted, as far as the stream's watermark has come."""
+    folder = _folder(i, "stuck")
+    out = jobs.lives_to_table(i.job_events(_event_stream(i)), f"{folder}/state", f"{folder}/stream", SILENCE, 366 * 86_400, LATE)
+    return out.drop("version")
+
+
 @query
 def stream_admission(i: Inputs) -> DataFrame:
     folder = _folder(i, "admission")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.operators import state as S
+from cadence.streaming import lifecycle
+from cadence.streaming.ledger import Ledger, not_done
 
 
 def fold_progress(events: DataFrame, job: str = "job_id") -> DataFrame:
@@ -23,6 +23,17 @@ def lifecycle_updates(events: DataFrame, job: str = "job_id") -> DataFrame:
     return S.lifecycle(events, job)
 
 
+def lives_to_table(events: DataFrame, path: str, checkpoint: str, silence: float, forget: float, delay: float, job: str = "job_id") -> DataFrame:
+    """The state of each job by lifecycle.lives(), as far as the watermark has come, as a table. The state is kept in RocksDB."""
+    conf, (name, provider) = events.sparkSession.conf, lifecycle.PROVIDER
+    before = conf.get(name)
+    conf.set(name, provider)
+    try:
+        return run_to_table(lifecycle.lives(events, silence, forget, delay, job), path, checkpoint, job, "version")
+    finally:
+        conf.set(name, before)
+
+
 def admit_jobs(requests: DataFrame) -> DataFrame:
     """Stateless: accepted and rejected requests, each with its id or reason."""
     return S.admit(requests)
@@ -37,35 +48,27 @@ def process_incrementally(
     The state is what is done by key, not by batch: each run of a batch adds a folder of its own and none is overwritten, so
     neither a crash nor a new stream checkpoint loses or repeats finished work. Items that failed are tried
     again when they come again. ``outputs`` gives the keys whose results exist: completed items without one are worked on again.
+    A ledger merges the keys that are done, so that each batch reads a bounded number of folders. One stream writes to a state at a time.
     """
+    ledger = Ledger(items.sparkSession, state_path, key)
 
     def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh, done = batch.dropDuplicates([key]), completed(spark, state_path, key)
-        if done is not None:
-            there = done.join(outputs().select(key).distinct(), key, "left_semi") if outputs else done
-            fresh = fresh.join(there, key, "left_anti")
-        folder = f"{state_path}/run={uuid.uuid4().hex}/batch={number}"
-        work(fresh).write.parquet(folder)
-        if stop_on_error and spark.read.parquet(folder).filter("status = 'failed'").limit(1).count():
+        fresh, done = batch.dropDuplicates([key]), ledger.done()
+        if done is not None and outputs:
+            done = done.join(outputs().select(key).distinct(), key, "left_semi")
+        folder = ledger.new_folder(number)
+        work(not_done(fresh, done, key)).write.parquet(folder)
+        ledger.add(folder)
+        if stop_on_error and batch.sparkSession.read.parquet(folder).filter("status = 'failed'").limit(1).count():
             raise RuntimeError(f"a job of batch {number} failed")
 
     items.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def completed(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """Keys that any run completed; None before the first one."""
-    try:
-        return spark.read.parquet(path).filter("status = 'completed'").select(key).distinct()
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def run_to_table(rows: DataFrame, path: str, checkpoint: str, key: str | None = None) -> DataFrame:
+def run_to_table(rows: DataFrame, path: str, checkpoint: str, key: str | None = None, newest: str | None = None) -> DataFrame:
     """All that is there now, through a stream, as a table in the folder: of each key what the last batch says of it, or, without a
-    key (rows that have no state), all rows. A batch that runs again replaces what it wrote."""
+    key (rows that have no state), all rows. newest: a column that grows from row to row of a key in one batch. A batch that
+    runs again replaces what it wrote."""
 
     def one(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -73,7 +76,7 @@ def run_to_table(rows: DataFrame, path: str, checkpoint: str, key: str | None =
     rows.writeStream.outputMode("update" if key else "append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     out = rows.sparkSession.read.parquet(path)
     if key:
-        out = out.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.col("batch").desc()))).filter("_last = 1")
+        out = out.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.col("batch").desc(), *([F.col(newest).desc()] if newest else [])))).filter("_last = 1")
     return out.select(*rows.columns)
 
 
