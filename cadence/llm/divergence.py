@@ -145,7 +145,7 @@ def _sql() -> str:
     lefts = "".join(f", l{i + 1} AS (SELECT *, regexp_replace(left{i}, {quoted(kind)}, '', 'g') AS left{i + 1} FROM l{i})" for i, kind in enumerate(CLASSES))
     classes = ", ".join([f"length(left{i}) - length(left{i + 1})" for i in range(last)] + [f"length(left{last})"])
     codes = _codes()
-    commons = ", ".join(f"len(list_filter(words, lambda w: w IN ({', '.join(map(quoted, dict.fromkeys((x, x.capitalize()))))})))" for x in codes)
+    forms = ", ".join(f"({quoted(form)}, {i})" for i, x in enumerate(codes) for form in dict.fromkeys((x, x.capitalize())))
     share = lambda name, size, total: ", ".join(f"CAST(sum({SHARES} * {name}[{i}] // {total}) AS BIGINT)" for i in range(1, size + 1))
 
     def distance_sql(own: str, reference: str) -> str:
@@ -157,13 +157,15 @@ def _sql() -> str:
 WITH l0 AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS language, coalesce(text, '') AS left0,
   regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORDS}')) AS lines FROM documents)
 {lefts}
-, w AS (SELECT r, unnest(range(1, len(words) - 1)) AS p, words FROM l0 WHERE len(words) >= 3),
-w3 AS (SELECT r, p, count(*) OVER (PARTITION BY r, words[p], words[p + 1], words[p + 2]) AS times FROM w),
+, w AS (SELECT r, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM l0),
+w2 AS (SELECT r, p, word, lead(word) OVER o AS second, lead(word, 2) OVER o AS third FROM w WINDOW o AS (PARTITION BY r ORDER BY p)),
+w3 AS (SELECT r, p, count(*) OVER (PARTITION BY r, word, second, third) AS times FROM w2 WHERE third IS NOT NULL),
+listed AS (SELECT r, histogram(i) AS times FROM (SELECT r, unnest(words) AS word FROM l0) t JOIN (VALUES {forms}) v(word, i) USING (word) GROUP BY r),
 covered AS (SELECT r, CAST(sum(least(3, coalesce(later - p, 3))) AS BIGINT) AS n FROM (SELECT r, p, lead(p) OVER (PARTITION BY r ORDER BY p) AS later FROM w3 WHERE times > 1) x GROUP BY r),
 m0 AS (SELECT doc_id, language, CAST(len(words) AS BIGINT) AS n_words, length(left0) - (length(left1) - length(left2)) AS word_chars,
   length(left{SYMBOLS}) - length(left{SYMBOLS + 1}) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-  [{classes}] AS classes, [{commons}] AS listed FROM l{last} LEFT JOIN covered USING (r)),
-m1 AS (SELECT *, list_append(listed, n_words - CAST(list_sum(listed) AS BIGINT)) AS commons, CAST(list_sum(classes) AS BIGINT) AS chars,
+  [{classes}] AS classes, [CAST(coalesce(times[x], 0) AS BIGINT) FOR x IN range({len(codes)})] AS own FROM l{last} LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)),
+m1 AS (SELECT *, list_append(own, n_words - CAST(list_sum(own) AS BIGINT)) AS commons, CAST(list_sum(classes) AS BIGINT) AS chars,
   n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM m0),
 known AS (SELECT language, [{share('classes', last + 1, 'chars')}] AS class_reference, [{share('commons', len(codes) + 1, 'n_words')}] AS common_reference
   FROM m1 WHERE NOT base_failed GROUP BY language),
