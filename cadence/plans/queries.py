@@ -14,7 +14,7 @@ from cadence.operators import align, candidates, captions, features, inference,
 from cadence.plans import oracle
 from cadence.plans.fixtures import Inputs
 from cadence.sources import manifests, results, snapshots
-from cadence.sources.captions import caption_text, write_captions
+from cadence.sources.captions import caption_text, read_captions, write_captions
 from cadence.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -440,7 +440,7 @@ def caption_files(i: Inputs) -> DataFrame:
     """The same, of files that are written and read back."""
     folder = _folder(i, "captions")
     write_captions(caption_events_of(i), folder)
-    return _read_captions(i.spark.read.text(folder, wholetext=True).select(F.col("recording_id").cast("long").alias("recording_id"), F.col("value").alias("text")))
+    return _read_captions(read_captions(i.spark, folder).withColumn("recording_id", F.col("recording_id").cast("long")))
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.operators.manifest import build_labelled, manifest
@@ -11,9 +11,20 @@ ACCESS = {"yt_dlp_ok": "boolean", "duration": "double", "tested_seconds": "doubl
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, line_no, line of text files, in the order of each file; a byte order mark is dropped."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "line"))
+    """file, line_no, line of text files, in the order of each file; a byte order mark is dropped.
+
+    A large file is read in its blocks, each by a task of its own: lines are numbered inside their block, and shifted by what the
+    blocks before it hold. Only counts by block are summed up over a file.
+    """
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")]
+    read = lambda: spark.read.text(paths)
+    # rows of a block are in one partition, in their order; the id tells that order, whatever partition it is
+    inside = read().select(*block, F.regexp_replace("value", "^\ufeff", "").alias("line"), F.monotonically_increasing_id().alias("_id"))
+    inside = inside.withColumn("_nth", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_id")))
+    counts = read().select(*block).groupBy("file", "_block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("file", "_block", before.alias("_before"))
+    return inside.join(starts, ["file", "_block"]).select("file", (F.col("_before") + F.col("_nth") - 1).alias("line_no"), "line")
 
 
 def read_manifest(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
