@@ -15,28 +15,33 @@ from cadence.llm import line_dedup, mixing, near_dup, packing, quality
 from cadence.llm.queries import ready, table
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row as one value: so a stage's own names never meet those of the documents."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("carried"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble doesn't reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.withColumnRenamed("score", "own_score"), model, tuple("own_score" if c == "score" else c for c in docs.columns))
-    return scored.filter(F.col("score") >= quality.THRESHOLD).drop("score").withColumnRenamed("own_score", "score").select(*docs.columns)
+    return quality.score(carried(docs), model, ("carried",)).filter(F.col("score") >= quality.THRESHOLD).select("carried.*")
 
 
 def cut_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks of lines that an earlier one holds; those of which nothing is left go."""
     ready(spark)
-    out = line_dedup.remove_common_lines(docs)
+    out = line_dedup.remove_common_lines(carried(docs))
     out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("carried.n_chars"))
+    return out.select(*(new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate group."""
     ready(spark)
     kept = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return carried(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select("carried.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
