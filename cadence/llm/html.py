@@ -11,7 +11,7 @@ What the markup itself declares stands above the tree: elements that are menus,
 footers, sidebars, notices, adverts, forms, scripts or comments by their tag, role, class or id have
 importance 0 everywhere, so a host with one page needs no statistics. What an <article> (or else <main>)
 declares as its content has a prior importance of DECLARED, to which the tree adds: its blocks go only if nearly
-nothing of them differs between pages. There an element is also judged by itself, with its content, where others stand at the
+nothing of them differs between pages. A bare paragraph is prose and stays, whatever repeats; only what has a container of its own is judged. There an element is also judged by itself, with its content, where others stand at the
 same path. Pages of one content count once, titles and parts of sentences, lists and tables are not
 judged, and an article that would lose more than half of its words stays whole.
 
@@ -62,7 +62,7 @@ _ENDS = {
     "tbody": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("tbody", "thead", "tr", "td", "th"), ("table",)),
 }
 #: Elements of declared content that the tree judges.
-_JUDGED = frozenset("address blockquote details div dl figure ol p section table ul".split())
+_JUDGED = frozenset("address blockquote details div dl figure ol section table ul".split())
 _NOISE_TAGS = frozenset("nav footer aside form button dialog menu head fieldset".split())
 _NOISE_PARTS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead banner footer sidebar aside ad ads advert adverts advertisement sponsor sponsored"

@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import words as W
 from .hot import counted, join_dealt
@@ -299,7 +300,9 @@ def remove_common_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     gone = gone.mapInArrow(*_by_row("gone", ("words", "keys", "taken"), lambda w, k, t: places(w, min_words, k[1:], set(t))))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone").checkpoint()
     forget(known, shared)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "gone")]
-    out = docs.select(*names).join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_row")), "left").select(*names, "gone")
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return out.mapInArrow(_cut(names), schema + ", n_lines long, n_removed long")
+    # the row goes along as one value, so none of its names meets those of this function
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_row"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"))
+    out = rows.join(gone, (F.col("own_id") == F.col("gone_id")) & (F.col("own_row") == F.col("gone_row")), "left").select("text", "kept", "gone")
+    schema = StructType([StructField("text", StringType()), StructField("kept", out.schema["kept"].dataType), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    out = out.mapInArrow(_cut(["text", "kept"]), schema)
+    return out.select(*(F.col("text") if c == "text" else F.col("kept")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")

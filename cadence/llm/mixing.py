@@ -6,9 +6,9 @@ offset per source is added, and a document is emitted once for each integer that
 its stretch of the running sum crosses. As documents of like size stand together,
 the words taken come within about one long document of the target.
 
-The running sum is never taken in one task: it is made of a sum over (source, size),
-a sum over the parts of a large (source, size) group, and a rank inside one part. Parts are ranges
-of ids, and of hashes for rows without one, so the order is size, id (nulls last) at every size.
+The running sum is never taken in one task. All rows stand in one order: source, size, id (nulls last), text. They
+are dealt into ranges of that order of some PART_ROWS rows each, cut at sampled rows, and a row's rank is the number of rows in the ranges before
+its own and its place in there. So a part is as large as any other, whatever the ids, and rows that are equal in all are spread as well.
 
 Cases: a null source is a source of its own, after all others; null or empty texts
 have size 0, take part, and add no words; a source of size 0 has target 0; rows that
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix for each word of the input, and the most copies that a document may get.
 SHARE, MOST = 1.5, 2.0
-#: Documents of one source and size that are ranked in one task.
+#: Documents that are ranked in one task, about.
 PART_ROWS = 50_000
 SEED = "mix-1"
 
@@ -59,32 +59,30 @@ def offset_of(source: Column, seed: str) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def ranged(sized: DataFrame, parts: int) -> DataFrame:
+    """Rows in the order of source, size, id (nulls last) and text, with their part, from 0, and their place in it, from 0. sized is checkpointed.
+
+    Parts are cut at sampled rows; rows that are equal in all are told apart by their number in what is checkpointed.
+    """
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("row"), F.col("nth")]
+    dealt = sized.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the number of a row has its partition above, and its place there in the lower 33 bits
+    return dealt.withColumn("at", F.monotonically_increasing_id()).withColumns({"part": F.shiftright("at", 33), "at": F.col("at").bitwiseAND((1 << 33) - 1)}).drop("nth").checkpoint()
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, part_rows: int = PART_ROWS) -> DataFrame:
     """docs(doc_id, text, source) -> doc_id, size, source_size, target, taken, source, copies, row (a hash of the text): one row per row of docs."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("row")).checkpoint()  # the texts are read once
-    groups = sized.groupBy("source", "size").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    running = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    sources = targets(groups.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, most)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).checkpoint()
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = targets(totals.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "its").join(totals.select(F.col("source").alias("s"), earlier.alias("earlier")), F.col("its").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    groups = (
-        groups.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-        .withColumn("parts", F.ceil(F.col("n") / part_rows).cast("long"))
-        .join(sources.withColumn("rate", rate).withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its")))
-        .drop("its", "n")
-    )
-    g = groups.select(F.col("source").alias("s"), F.col("size").alias("z"), "before", "parts", "least", "most", "source_size", "target", "rate")
-    placed = sized.join(g, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    # both grow with what they order by, whatever is lost in doubles
-    of_id = (F.col("doc_id").cast("double") - F.col("least").cast("double")) / (F.col("most").cast("double") - F.col("least").cast("double") + 1)
-    of_row = F.col("row").cast("double") / 2.0**64 + 0.5
-    share = F.when(F.col("doc_id").isNotNull(), of_id * F.col("parts")).otherwise(F.col("parts") + of_row * F.col("parts"))
-    placed = placed.withColumn("part", F.floor(share).cast("long"))
-    parts = placed.groupBy(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
-    parts = parts.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("s", "z").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # few groups have more than one part: the ranks of all others need no second look at them
-    placed = placed.join(parts.filter("p > 0 and earlier > 0").drop("n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p")), "left")
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.col("doc_id").asc_nulls_last(), "row"))
-    at = F.col("before") + F.coalesce(F.col("earlier"), F.lit(0)) + rank
+
+    placed = ranged(sized, max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // part_rows)))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = placed.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("rows")).select("p", before.alias("start"))  # a row for each part
+    placed = placed.join(starts, F.col("part") == F.col("p")).join(known.withColumn("rate", rate), F.col("source").eqNullSafe(F.col("its")))
+    at = F.col("start") + F.col("at") + 1 - F.col("earlier")  # from 1 on in each source
     copies = F.floor(at * F.col("rate") + F.col("u")) - F.floor((at - 1) * F.col("rate") + F.col("u"))
     return (
         placed.withColumn("u", offset_of(F.col("source"), seed)).withColumn("copies", copies.cast("long"))

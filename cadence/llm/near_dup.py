@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -171,12 +171,19 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(reached).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
+def _size_class(n: Column) -> Column:
+    """Sizes by tenths: never falls as n grows, which is all that is asked of it."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(1.1)).cast("int")
+
+
 def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of units under different roots that may reach the threshold; roots(unit, root) are those to look at.
 
     Sets are ordered from shingles that stand under one root only, which no such pair shares, on to the others, from rare to
     frequent. Of two sets that reach it, the first shingle that they share lies in both their prefixes, and what
-    follows it in either is no less than what must be shared. So only the others have to be placed one by one.
+    follows it in either is no less than what must be shared. So only the others have to be placed one by one, and two sets meet at
+    a shingle only if either's place leaves room for a partner of the other's size: sets of one template, which are alike in all but
+    their own words, don't meet at the template's shingles unless that much makes a link.
     """
     own = sets.join(roots, "unit")
     rows = own.select("unit", "root", "n", F.explode("shingles").alias("shingle"))
@@ -190,15 +197,21 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     n_prefix = prefix.count()
     most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("n"), F.count("*").alias("kinds"))
     most = most.filter("kinds > 1").select("shingle", "main", "n").checkpoint()
-    x, y = (prefix.select("shingle", *(F.col(c).alias(f"{s}_{c}") for c in ("unit", "root", "n", "place"))) for s in "ab")
-    x = join_dealt(x, most.select("shingle", "main"), "shingle", most, n_prefix, F.col("a_unit")).filter("a_root <> main").drop("main")
+    known = join_dealt(prefix, most.select("shingle", "main"), "shingle", most, n_prefix, F.col("unit"))
+    # the partner sizes that a place leaves possible: as large as the threshold allows, and no more than what follows can make up for
+    least, largest = F.ceil(percent * F.col("n") / 100), F.floor(F.least(100 * F.col("n") / percent, (100 + percent) * (F.col("n") - F.col("place")) / percent - F.col("n")))
+    known = known.withColumns({"own": _size_class(F.col("n")), "low": _size_class(least), "high": _size_class(largest)})
+    known = known.filter((largest >= least) & (F.col("low") <= F.col("high"))).withColumn("other", F.explode(F.sequence("low", "high")))
+    known = known.select("shingle", "unit", "root", "n", "place", "main", "own", "other").checkpoint()
+    x = known.filter("root <> main").select(F.xxhash64("shingle", "own", "other").alias("key"), *(F.col(c).alias(f"a_{c}") for c in ("shingle", "unit", "root", "n", "place")))
+    y = known.select(F.xxhash64("shingle", "other", "own").alias("key"), *(F.col(c).alias(f"b_{c}") for c in ("shingle", "unit", "root", "n", "place")))
     rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     fits = (
-        (F.col("a_root") != F.col("b_root"))
+        (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a_root") != F.col("b_root"))
         & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
         & ((100 + percent) * rest >= percent * (F.col("a_n") + F.col("b_n")))
     )
-    met = join_dealt(y, x, "shingle", most, n_prefix, F.col("b_unit")).filter(fits)
+    met = join_dealt(y, x, "key", counted(y, "key"), known.count(), F.col("b_unit")).filter(fits)
     return met.select(F.least("a_unit", "b_unit").alias("a"), F.greatest("a_unit", "b_unit").alias("b")).distinct()
 
 

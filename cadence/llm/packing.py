@@ -179,6 +179,7 @@ def best_fit(length: np.ndarray, capacity: Capacities = Capacities(), weights: t
 def pack(cut: DataFrame, capacity: Capacities = Capacities(), weights: tuple[float, ...] = WEIGHTS, rule: str = "norm", shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """cut: what pieces() gives -> doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     narrow = cut.select("doc_id", "piece", "start", "length", "ids_crc32").checkpoint()
+    # by the rows' numbers in what is checkpointed: rows that repeat, or have no id, are spread like any others
     shards = max(1, -(-narrow.count() // shard_pieces))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
@@ -188,5 +189,5 @@ def pack(cut: DataFrame, capacity: Capacities = Capacities(), weights: tuple[flo
         ids = sequence * shards + int(key[0].as_py())
         return pa.Table.from_arrays([*(t.column(c) for c in names[:5]), pa.array(ids), pa.array(offset)], names=names)
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("long")
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long")
     return narrow.withColumn("shard", shard).groupBy("shard").applyInArrow(run, PIECES + ", sequence_id long, offset long")

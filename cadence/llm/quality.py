@@ -8,7 +8,7 @@
 Cases: null or empty text has all statistics 0 and gets a score like any other; a null
 or repeated doc_id is scored row by row; labels that are null, or of unknown documents,
 teach nothing; without labels of both kinds the score is the share of label 1, or 0.5
-without any; a table without rows gives no rows; further columns don't matter.
+without any; of rows that share a labelled doc_id the least text teaches; a table without rows gives no rows; further columns don't matter.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import words as W
 
@@ -97,7 +98,7 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     """docs(text, ...) -> the kept columns and one double per name of STATISTICS, as statistic_<name>."""
     chosen = docs.select(*(c for c in keep if c != "text"), "text")
     made = [f"statistic_{x}" for x in STATISTICS]
-    schema = ", ".join([f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep] + [f"{x} double" for x in made])
+    schema = StructType([*(StructField(c, chosen.schema[c].dataType) for c in keep), *(StructField(x, DoubleType()) for x in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,9 +218,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """The sample, of sample_rows at most, goes to every executor and its statistics to the driver; docs stay where they are."""
-    taught = docs.join(F.broadcast(learnable(labels, sample_rows)), F.col("doc_id") == F.col("label_id"))
-    rows = statistics(taught.select("doc_id", "quality", "text"), ("doc_id", "quality")).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    """The sample, of sample_rows at most, goes to every executor and its statistics to the driver; docs stay where they are.
+
+    Of rows with one doc_id the least text is learnt from, and a label that repeats counts once: so the driver gets sample_rows rows at most.
+    """
+    texts = docs.select(F.col("doc_id").alias("its_id"), F.coalesce("text", F.lit("")).alias("its_text"))
+    taught = texts.join(F.broadcast(learnable(labels, sample_rows)), F.col("its_id") == F.col("label_id"))
+    taught = taught.groupBy(F.col("label_id").alias("doc_id"), "quality").agg(F.min("its_text").alias("text"))
+    rows = statistics(taught, ("doc_id", "quality")).toPandas().sort_values(["doc_id", "quality"], kind="stable")
     return fit_rows(rows[[f"statistic_{x}" for x in STATISTICS]].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
 
 

@@ -29,3 +29,14 @@ def test_order_is_that_of_the_sql(docs_of):
     want = sorted(c.sql(f"SELECT doc_id, size, copies FROM ({mixing.ORACLE_SQL})").fetchall(), key=str)
     for part_rows in (3, 50_000):
         assert sorted(((r.doc_id, r.size, r.copies) for r in mixing.mix(docs, part_rows=part_rows).collect()), key=str) == want
+
+
+def test_parts_are_bounded_whatever_the_ids(spark):
+    rows = [(i, "s", 3, i) for i in range(4000)] + [(1 << 61, "s", 3, 0)] + [(None, "s", 3, 7)] * 4000 + [(5, None, 1, 1)] * 2000
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long, row long").repartition(4).checkpoint()
+    placed = mixing.ranged(sized, 50).toPandas()
+    assert len(placed) == len(rows) and placed.groupby("part").size().max() <= 3 * len(rows) / 50
+    got = placed.sort_values(["part", "at"])
+    key = lambda r: (r[1] is None, r[1] or "", r[2], r[0] is None, r[0] or 0, r[3])
+    plain = [(None if d != d else int(d), s, z, r) for d, s, z, r in zip(got.doc_id, got.source, got["size"], got.row, strict=True)]
+    assert [key(r)[:4] for r in plain] == [key(r)[:4] for r in sorted(rows, key=key)]

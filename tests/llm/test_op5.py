@@ -49,3 +49,13 @@ def test_odd_no_and_one_sided_labels(spark, odd):
     assert quality.score(odd.filter("false"), model).count() == 0
     assert quality.learnable(labels([(i, 1, 0) for i in range(100)]), 10).count() == 10
     assert odd.select(quality.held_out(F.col("doc_id")).alias("h")).filter("h is null").count() == 0
+
+
+def test_the_driver_gets_a_row_a_label(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda x, y: seen.append((len(x), y.tolist())))
+    docs = spark.createDataFrame([(1, f"text {i}", "x") for i in range(3000)] + [(6, None, "x"), (7, "b", "x")], "doc_id long, text string, label_id string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (6, 0), (99, 0), (None, 1)], "doc_id long, quality int")
+    taught = {i for i in (1, 6) if zlib.crc32(str(i).encode()) % 5}
+    quality.fit(docs.withColumnRenamed("label_id", "quality"), labels)
+    assert seen == [(len(taught), [1.0 if i == 1 else 0.0 for i in sorted(taught)])]

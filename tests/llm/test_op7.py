@@ -66,3 +66,9 @@ def test_odd_and_no_rows(spark, odd):
     check_layout(rows, 4096)
     assert packing.pack(packing.pieces(odd.filter("false"))).count() == 0
     assert packing.pieces(odd, ids=True).filter("size(ids) <> length").count() == 0
+
+
+def test_rows_without_an_id_are_spread_over_shards(spark):
+    cut = spark.createDataFrame([(None, 0, 0, 3, 17)] * 2000, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    rows = packing.pack(cut, shard_pieces=200).toPandas()
+    assert len(rows) == 2000 and (rows.sequence_id % 10).value_counts().max() < 300

@@ -37,3 +37,34 @@ def test_branch_of_a_small_section_of_a_hot_host(spark, monkeypatch, most):
 ])
 def test_names(page, text):
     assert H.extract(page) == text
+
+
+def test_bare_paragraphs_of_an_article_stay(spark):
+    rows = [("a", f"<article><h1>T {i}</h1><p>own words {i} of this one story here</p><p>The same closing sentence in many articles of this host</p></article>") for i in range(20)]
+    assert texts(spark, rows) == [f"T {i}\nown words {i} of this one story here\nThe same closing sentence in many articles of this host" for i in range(20)]
+
+
+def test_larger_table_is_what_its_markup_says(spark, sf):
+    from tests.llm.test_op9 import article
+
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.select("page_id", "html").collect()}
+    got = {r.page_id: r.text for r in H.extract_pages(pages.repartition(8)).collect()}
+    assert len(got) > 2000 and [i for i, t in got.items() if t != article(html[i])] == []
+
+
+def test_the_tree_alone_where_markup_says_nothing(spark, sf):
+    """Without article tags, classes, ids and roles, and with div and p for all that names a role by its tag."""
+    import re
+    from collections import Counter
+
+    from tests.llm.test_op9 import article
+
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url", "html").collect()
+    bare = lambda h: re.sub(r"<(/?)(?:article|main|nav|aside|footer|header|section)\b[^>]*>", r"<\1div>", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", h))
+    pages = spark.createDataFrame([(r.page_id, r.url, bare(r.html)) for r in rows], "page_id long, url string, html string").repartition(8)
+    got, same, own, full = {r.page_id: r.text for r in H.extract_pages(pages).collect()}, 0, 0, 0
+    for r in rows:
+        want, found = Counter(article(r.html).split()), Counter(got[r.page_id].split())
+        same, own, full = same + (want & found).total(), own + found.total(), full + want.total()
+    assert 2 * same / (own + full) >= 0.95

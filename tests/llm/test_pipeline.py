@@ -37,3 +37,20 @@ def test_decisions_take_effect(spark, sf, docs_of):
 @pytest.mark.parametrize("stage", [s for _, s in P.STAGES])
 def test_no_rows(spark, sf, docs_of, stage):
     assert stage(spark, docs_of([(1, "x")]).filter("false"), sf).count() == 0
+
+
+NAMES = ("label_id", "quality", "gone", "gone_id", "gone_row", "kept", "kept_id", "n_removed", "n_lines", "score", "carried", "own_id", "row", "size", "copies", "statistic_n_words", "component_id", "its_id", "keys", "taken", "nth", "part")
+
+
+@pytest.mark.parametrize("stage", [s for _, s in P.STAGES[:-1]])
+def test_any_further_column_goes_through_unchanged(spark, sf, docs_of, stage):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 40").collect()}
+    block = "\n".join(f"a line {i} that several documents hold in just these words" for i in range(9))
+    docs = docs_of([(i, t + ("\n" + block if i % 5 == 0 else "")) for i, t in texts.items()])
+    for k, name in enumerate(NAMES):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")))
+    out = stage(spark, docs, sf)
+    rows = out.collect()
+    assert out.columns == docs.columns and rows
+    for r in rows:
+        assert [r[name] for name in NAMES] == [f"{k}:{r.doc_id}" for k in range(len(NAMES))] and (r.lang, r.source) == ("en", "s")
