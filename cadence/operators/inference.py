@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadence.operators.supervised import Child
+
 Load = Callable[[], Any]
 Transcribe = Callable[[Any, Any, dict, int], dict]
 TranscribeMany = Callable[[Any, Any, list[dict], int], list[dict]]
@@ -58,9 +60,29 @@ def work_on(rows: list[dict], name: str, load: Load, load_aligner: Callable[[str
     return [_one(name, load, load_aligner, transcribe, row, batch_size) for row in rows]
 
 
+def work_within(rows: list[dict], limit: float, load_limit: float, name: str, *how: Any) -> list[dict]:
+    """work_on() in this worker's child process, with so many seconds for each recording. If rows that go together take too long, or end
+    the child, each goes by itself; the one at fault fails, and the next one gets a new child."""
+
+    def serve() -> Callable[[list[dict]], list[dict]]:
+        model_of(name, how[0])
+        return lambda asked: work_on(asked, name, *how)
+
+    key = f"{name}/child"
+    try:
+        if key not in _models or not _models[key].alive:
+            _models[key] = Child(serve, load_limit)
+        return _models[key].ask(rows, limit * len(rows))
+    except Exception as e:  # noqa: BLE001  as in work_on()
+        if len(rows) > 1:
+            return [x for row in rows for x in work_within([row], limit, load_limit, name, *how)]
+        return [{"status": "failed", "error": f"{type(e).__name__}: {e}"}]
+
+
 def map_recordings(
     recordings: DataFrame, load: Load, transcribe: Transcribe, schema: str,
     load_aligner: Callable[[str], Any] | None = None, batch_size: int = 4, name: str = "model", many: TranscribeMany | None = None,
+    limit: float | None = None, load_limit: float = 600.0,
 ) -> DataFrame:
     """recordings(recording_id, language, ...) -> the fields of ``schema``, recording_id, status and error.
 
@@ -68,7 +90,8 @@ def map_recordings(
     changes; rows come sorted by language, so that is seldom. Another ``load`` under the same name is another model.
     ``transcribe(model, aligner, row, batch_size)`` gives a dict of the schema's fields; batch_size is for the model's own use
     within a recording. ``many(model, aligner, rows, batch_size)`` gives one dict for each of up to batch_size rows of one
-    language. An exception, or None, fails that recording alone. Large languages spread over partitions by a second key.
+    language. An exception, or None, fails that recording alone. With ``limit``, seconds for a recording, models live in a child process of
+    each worker, which may take load_limit seconds to load them: one that hangs or dies fails its recording alone as well. Large languages spread over partitions by a second key.
     """
     fields = [x.split()[0].strip("`") for x in schema.split(", ")]
     name = f"{name}/{hashlib.sha256(cloudpickle.dumps((load, load_aligner))).hexdigest()[:16]}"
@@ -83,7 +106,8 @@ def map_recordings(
                 to = at + 1
                 while many and to < len(rows) and to - at < batch_size and rows[to]["language"] == rows[at]["language"]:
                     to += 1
-                made = own.work_on(rows[at:to], name, load, load_aligner, transcribe, many, batch_size)
+                how = (load, load_aligner, transcribe, many, batch_size)
+                made = own.work_on(rows[at:to], name, *how) if limit is None else own.work_within(rows[at:to], limit, load_limit, name, *how)
                 out += [{"recording_id": r["recording_id"]} | m for r, m in zip(rows[at:to], made, strict=True)]
                 at = to
             yield pd.DataFrame(out, columns=["recording_id", *fields, "status", "error"])

@@ -533,4 +533,49 @@ def map_recordings(i: Inputs) -> DataFrame:
     return inference.map_recordings(d, lambda: len, transcribe, "n long, aligner string", lambda language: f"align-{language}")
 
 
+@query
+def supervised_recordings(i: Inputs) -> DataFrame:
+    """The stand-in model in a child process, with a time limit; texts of some lengths end the process."""
+    d = i.table("documents").select(F.col("doc_id").alias("recording_id"), F.col("lang").alias("language"), "text")
+
+    def transcribe(model, aligner, row, batch_size):
+        if len(row["text"] or "") % 97 == 13:
+            import os
+
+            os._exit(3)
+        return {"n": model(row["text"])}
+
+    def many(model, aligner, rows, batch_size):
+        return [transcribe(model, aligner, row, batch_size) for row in rows]
+
+    return inference.map_recordings(d, lambda: len, transcribe, "n long", batch_size=64, many=many, limit=60.0)
+
+
+@query
+def requeue_service(i: Inputs) -> DataFrame:
+    """Jobs of the service after a restart: those that were under way wait from the beginning."""
+    jobs_ = i.job_state().withColumn("status", F.when(F.col("status") == "pending", "queued").otherwise(F.col("status"))).withColumns({"stage_status": F.lit("running"), "detail": F.lit("")})
+    return state.requeue(jobs_, service=True).select("job_id", "status", "stage_status", "detail")
+
+
+@query
+def result_arrays(i: Inputs) -> DataFrame:
+    """Words and syllables as bare arrays, one document a recording, without what says whose they are; read back and counted."""
+    folder, empty = _folder(i, "arrays"), {c: F.lit(None).cast("double") for c in features.FEATURES}
+    w, s = i.words().withColumns(empty), align.syllable_units(i.words()).withColumns(empty)
+    p = payload.nest_payload(i.recordings(), w, s, "both")
+    for name in ("words", "syllables"):
+        p.filter(F.size(name) > 0).select(F.to_json(name, {"ignoreNullFields": "false"}).alias("value")).write.text(f"{folder}/{name}")
+    out = results.read_results(i.spark, folder)
+    parts = [d.filter("label is null and source_url is null").select(F.lit(k).alias("kind"), "pos", F.col(k).alias("part"), "start_time") for d, k in zip(out, ("word", "syllable"), strict=True)]
+    return parts[0].unionByName(parts[1]).groupBy("kind", "pos").agg(F.count("*").alias("n"), F.count_distinct("part").alias("different"), F.max("start_time").alias("latest"))
+
+
+@query
+def uploader_channel(i: Inputs) -> DataFrame:
+    """Candidates whose metadata names an uploader and, for some, no channel."""
+    m = i.metadata().withColumns({"channel": F.when(F.col("duration") % 2 == 0, "").otherwise(F.concat(F.lit(" c "), F.col("duration").cast("string"))), "uploader": F.concat(F.lit("u  "), F.col("duration").cast("string"))})
+    return candidates.verify(candidates.distinct_candidates(candidates.eligible(i.found(), SECONDS), "global"), m, (0, 900)).select("video_id", "channel")
+
+
 ORACLE_SQL = oracle.SQL
