@@ -269,8 +269,8 @@ SQL["all_sources"] = f"WITH {FOUND} SELECT rank, source, video_id FROM found UNI
 SQL["checked_at"] = "SELECT doc_id, TRUE AS in_form, TRUE AS is_now FROM documents"
 SQL["payload_counts_both"] = f"""WITH {WORDS} SELECT doc_id AS recording_id, 'both' AS granularity, coalesce(n_words, 0) AS n_words, coalesce(n_syllables, 0) AS n_syllables
     FROM documents LEFT JOIN (SELECT recording_id, count(*) AS n_words, CAST(sum(len({PARTS})) AS BIGINT) AS n_syllables FROM words GROUP BY 1) ON recording_id = doc_id"""
-SQL["supervised_recordings"] = """SELECT doc_id AS recording_id, CASE WHEN length(text) % 97 <> 13 THEN length(text) END AS n, CASE WHEN length(text) % 97 <> 13 THEN 'completed' ELSE 'failed' END AS status,
-    CASE WHEN length(text) % 97 = 13 THEN 'ChildProcessError: the model''s process ended with code 3' END AS error FROM documents"""
+SQL["supervised_recordings"] = """SELECT doc_id AS recording_id, CASE WHEN length(text) % 997 <> 13 THEN length(text) END AS n, CASE WHEN length(text) % 997 <> 13 THEN 'completed' ELSE 'failed' END AS status,
+    CASE WHEN length(text) % 997 = 13 THEN 'ChildProcessError: the model''s process ended with code 3' END AS error FROM documents"""
 SQL["requeue_service"] = f"""WITH {STATE} SELECT job_id, CASE WHEN status IN ('pending', 'processing') THEN 'queued' ELSE status END AS status,
     CASE WHEN status = 'processing' THEN 'restart_queued' ELSE 'running' END AS stage_status, CASE WHEN status = 'processing' THEN 'API restarted; job queued from the beginning.' ELSE '' END AS detail FROM js"""
 SQL["result_arrays"] = f"""WITH {WORDS}, {SYLLABLES}, s AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY pos, syllable_index) - 1 AS at_pos FROM units)
