@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cadence.functions import text as T
 
 MARKER = r"(?i)^#\s*LABEL:\s*([A-Z_]+)"
+#: Rows of a part that is numbered in one task, parts that are summed up together, and parts whose sums are broadcast, at most.
+PART_ROWS, GROUP_PARTS, BROADCAST_PARTS = 200_000, 1_000, 100_000
 
 
 def section_label(lines: DataFrame, by: str = "file", part_lines: int = 100_000) -> DataFrame:
@@ -31,17 +33,25 @@ def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str, parts: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], name: str, part_rows: int = PART_ROWS) -> DataFrame:
     """1-based position in a total order, without sorting everything in one task.
 
-    Rows are range-partitioned by the order; positions inside a partition are shifted by the rows of those before.
+    Rows are range-partitioned by sampled bounds of the order, in as many parts as their number asks for; positions inside
+    a part are shifted by the rows of those before. Parts are summed up in groups of GROUP_PARTS, and these in one task.
     """
+    rows = rows.checkpoint()  # counted, sampled and dealt
+    parts = max(1, -(-rows.count() // part_rows))
     dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     inside = dealt.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    inside = inside.checkpoint()  # the partition numbers must not change between the two uses
-    counts = inside.groupBy("_part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return inside.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
+    inside = inside.checkpoint()  # the part numbers must not change between the two uses
+    counts = inside.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_group", F.floor(F.col("_part") / GROUP_PARTS))
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_group").agg(F.sum("n").alias("n"))
+    groups = groups.select("_group", F.coalesce(F.sum("n").over(upto.orderBy("_group")), F.lit(0)).alias("_before_group"))
+    own = F.coalesce(F.sum("n").over(upto.partitionBy("_group").orderBy("_part")), F.lit(0))
+    before = counts.withColumn("_own", own).join(groups, "_group").select("_part", (F.col("_own") + F.col("_before_group")).alias("_before"))
+    # a row for each part: broadcast while there are few, else by what Spark finds
+    return inside.join(F.broadcast(before) if parts <= BROADCAST_PARTS else before, "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def read_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

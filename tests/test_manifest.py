@@ -36,8 +36,20 @@ def test_shards(spark):
 
 def test_numbering_over_partitions(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
-    got = M.numbered(rows, ["k"], "n", parts=7).orderBy("n").collect()
-    assert [r.n for r in got] == list(range(1, 5001)) and [r.k for r in got] == sorted(r.k for r in got)
+    for part_rows in (700, 3, 10_000):
+        got = M.numbered(rows, ["k"], "n", part_rows).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(1, 5001)) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_parts_by_rows(spark, monkeypatch):
+    """As many parts as the rows ask for, none of them large, and a table of parts that is too long to be broadcast."""
+    monkeypatch.setattr(M, "GROUP_PARTS", 4)
+    monkeypatch.setattr(M, "BROADCAST_PARTS", 10)
+    rows = spark.range(0, 20_000, 1, 8).select((F.col("id") * F.col("id")).alias("k"))  # far from even
+    got = M.numbered(rows, ["k"], "n", 1000)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert got.filter("k != (n - 1) * (n - 1)").count() == 0 and got.count() == 20_000
+    assert M.numbered(rows.filter("k < 0"), ["k"], "n").count() == 0
 
 
 def test_overlap(spark):
