@@ -53,6 +53,32 @@ def test_grid_of_blocks(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_bound_is_carried_on(spark, monkeypatch):
+    """In one task: what later blocks of candidates give is bounded by what is known; in any number of tasks the rows are the same."""
+    rng = np.random.default_rng(6)
+    c, ids = rng.integers(-300, 300, (40, 900)), rng.permutation(900)
+    c[:, 500:600] = c[:, :100]  # ties over blocks
+    block = {"q_n": 6, "q_dims": 40, "q_columns": np.ascontiguousarray(c[:, :6], np.int32).tobytes(), "q_ids": ids[:6].tolist()}
+    best = topk.Best(block, 5)
+    for lo in range(0, 900, 100):
+        best.meet(c[:, lo : lo + 100], ids[lo : lo + 100])
+        assert np.isfinite(best.least).all()
+    for i, (found, score) in enumerate(best.found):
+        full = sorted((-int(s), int(v)) for s, v in zip(c[:, i] @ c, ids, strict=True) if v != ids[i])[:5]
+        assert list(zip((-score).tolist(), found.tolist(), strict=True)) == full
+    late = topk.search(c[:, :6], ids[:6], c, ids, 5, least=best.least + 1)
+    assert all(len(found) < 5 for found, _ in late)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 30)
+    rows = [(i, [float(x) for x in rng.normal(size=24).astype(np.float32)]) for i in range(400)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "TASKS_PER_CORE", 1)
+    got = topk.top_k(d.filter("vec_id % 50 = 0"), d)
+    # candidates stay where they are: all that is exchanged is k rows of a query from each task
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_no_rows(spark):
     d = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(d, d).count() == 0
