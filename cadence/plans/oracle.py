@@ -156,6 +156,7 @@ SQL: dict[str, str] = {
         round(CASE WHEN lead(start_sec) OVER o IS NOT NULL THEN greatest(0.0, lead(start_sec) OVER o - end_sec) END, 3) AS pause_after_sec, round(1.0::DOUBLE / greatest(end_sec - start_sec, 1e-6), 3) AS speech_rate_sps
         FROM units w LEFT JOIN stats s ON s.recording_id = w.recording_id AND s.pos = w.pos AND s.syllable_index = w.syllable_index
         WINDOW o AS (PARTITION BY w.recording_id ORDER BY w.pos, w.syllable_index)""",
+    "compare_labels_once": WORD_FEATURES + " UNION ALL ".join(f"SELECT label, '{n}' AS feature, count({n}) AS n, TRUE AS in_bound FROM feats GROUP BY label" for n in ("pitch_mean_hz", "pitch_variance", "pause_after_sec", "speech_rate_sps")),
     "compare_labels": WORD_FEATURES + f"SELECT label, count(*) AS n_words, count(DISTINCT recording_id) AS n_recordings, {_MEASURES} FROM feats GROUP BY label",
     "usable_words": f"WITH {SEGMENTS} SELECT * FROM usable",
     "nest_payload": f"WITH {SEGMENTS} SELECT recording_id, pos, word, start_sec AS start_time, end_sec AS end_time FROM usable",

@@ -88,3 +88,34 @@ def test_compare_labels(spark, sf):
 
     rows = {r.label: r for r in QUERIES["compare_labels"](spark, sf).collect()}
     assert set(rows) == {"kids", "normal"} and rows["normal"].pitch_mean_hz_null_share > rows["kids"].pitch_mean_hz_null_share
+
+
+def test_equal_words_stay_as_many_as_they_are(spark, tone):
+    words = spark.createDataFrame([(1, "kids", 0, "hello", 0.10, 1.40), (1, "kids", 0, "hello", 0.10, 1.40), (1, "kids", 0, "help", 0.10, 1.40)], WORDS)
+    w, s = features.word_features(words, tone), features.syllable_features(words, tone)
+    assert sorted(r.word for r in w.collect()) == ["hello", "hello", "help"] and w.columns == [*words.columns, "pause_after_sec", "speech_rate_sps", "pitch_mean_hz", "pitch_variance"]
+    assert sorted(r.syllable for r in s.collect()) == ["hel", "hel", "help", "lo", "lo"]
+    both = features.both_features(words, tone)
+    assert both[0].exceptAll(w).count() == 0 == w.exceptAll(both[0]).count() and both[1].count() == 5
+
+
+def test_sketched_medians_keep_their_bound(spark):
+    """Even, skewed, constant, and mostly null values; labels of very different sizes, one of them null; many tasks."""
+    x = F.rand(7)
+    label = F.when(F.col("id") % 10 < 7, "kids").when(F.col("id") % 1000 == 999, None).otherwise("normal")
+    f = spark.range(0, 200_000, 1, 24).select(
+        label.alias("label"), (F.col("id") % 777).alias("recording_id"), x.alias("pitch_mean_hz"), F.exp(x * 20).alias("pitch_variance"), F.lit(2.0).alias("pause_after_sec"), F.when(x < 0.01, F.floor(x * 1000) * 1.0).alias("speech_rate_sps")
+    ).checkpoint()
+    once = features.compare_labels_once(f)
+    for r in features.rank_errors(f, once).collect():
+        slack = r.n / features.ACCURACY + 1
+        assert r.below - slack <= r.n / 2 <= r.upto + slack, r
+    exact = {r.label: r for r in features.compare_labels(f).collect()}
+    assert once.columns == features.compare_labels(f).columns
+    for r in once.collect():
+        e = exact[r.label]
+        assert r.n_words == e.n_words and abs(r.n_recordings - e.n_recordings) <= 0.03 * e.n_recordings and r.pause_after_sec_median == 2.0
+        assert math.isclose(r.pitch_mean_hz_avg, e.pitch_mean_hz_avg) and math.isclose(r.pitch_variance_std, e.pitch_variance_std) and r.speech_rate_sps_null_share == e.speech_rate_sps_null_share
+    plan = features.compare_labels_once(f)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert features.compare_labels_once(f.filter("false")).count() == 0
