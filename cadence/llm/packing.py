@@ -17,6 +17,7 @@ columns don't matter; a null doc_id is packed like any other.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,8 +35,13 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs.
 SHARD_PIECES = 1 << 14
-#: Words whose ids a task remembers.
+#: Words, and pieces of words, whose ids a task remembers.
 CACHE_WORDS = 350_000
+#: Plain words are of printable ASCII and of letters of Latin-1, which no normal form changes and which lower-case one to one.
+LETTERS = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+# Fixed value: the tokenizer's pattern, for plain words in lower case.
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^a-z{LETTERS}0-9]+")
 
 
 class Capacities(NamedTuple):
@@ -61,30 +67,52 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class PieceIds(dict):
+    """Ids of what the tokenizer's pattern cuts words into, as bytes; only its model is asked, for each piece once."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.model, self.spelled = tokenizer(path).model, {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in LETTERS}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        spelled = piece if piece.isascii() else piece.translate(self.spelled)
+        ids = self[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
+
+
 class WordIds:
     """Ids of white-space separated words as bytes of little-endian 32-bit integers.
 
-    The tokenizer drops white space before it looks for pieces, so a text's ids are its words' ids in a row.
+    The tokenizer drops white space before it looks for pieces, so a text's ids are its words' ids in a row. Plain words are
+    cut into pieces here, and pieces are remembered: nearly all distinct words are plain, and most are a known piece with
+    other signs around it. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self.known = path, {}
+        self.path, self.known, self.pieces = path, {}, PieceIds(path)
 
     def learn(self, words: set[bytes]) -> None:
-        """Looks up all that are not known yet. A full stop or comma after a letter or digit is a piece of its own."""
-        known = self.known
+        """Looks up all that are not known yet."""
+        known, pieces, other = self.known, self.pieces, []
         missing = [w for w in words if w not in known]
         if len(known) + len(missing) > CACHE_WORDS:
             known.clear()
             missing = list(words)
-        stopped = [w for w in missing if w[-1:] in (b".", b",") and w[-2:-1].isalnum()]
-        cores = {w[:-1] for w in stopped} | {b".", b","} | set(missing).difference(stopped)
-        cores = [w for w in cores if w not in known]
-        for lo in range(0, len(cores), 1 << 14):
-            part = cores[lo : lo + (1 << 14)]
+        for w in missing:
+            text = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text) and "<|" not in text:
+                known[w] = b"".join([pieces[x] for x in PARTS.findall(text.lower())])
+            else:
+                other.append(w)
+        for lo in range(0, len(other), 1 << 14):
+            part = other[lo : lo + (1 << 14)]
             found = tokenizer(self.path).encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             known.update(zip(part, (array("I", e.ids).tobytes() for e in found), strict=True))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in stopped)
 
     def of(self, words: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, words))

@@ -42,6 +42,23 @@ def test_words_give_the_ids_of_the_text(text):
     assert np.frombuffer(packing.ids_of(text.encode(), path), "<u4").tolist() == [*packing.tokenizer(path).encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_words_of_all_signs_give_the_ids_of_the_text():
+    path, rng = packing.default_tokenizer(), np.random.default_rng(7)
+    signs = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x180)), "'s", "'LL", "<|", "|>", "\u0301", "\u1e9e", "\u01c5", "\u212b", "\u0663", "\u2019"]
+    for signs_of in (signs, signs[:94], signs[32:62] * 3 + signs[:8] + signs[126:190]):
+        words = ["".join(rng.choice(signs_of, rng.integers(1, 9))) for _ in range(4000)]
+        text = " ".join(words)
+        assert np.frombuffer(packing.ids_of(text.encode(), path), "<u4").tolist() == [*packing.tokenizer(path).encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    known, text = packing.WordIds(packing.default_tokenizer()), [f"w{i % 7}ord{i}." for i in range(400)]
+    for lo in range(0, 400, 40):
+        known.learn({w.encode() for w in text[lo : lo + 40]})
+        assert len(known.known) <= 50 and len(known.pieces) <= 50
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_all_capacities_hold(rule):
     rng = np.random.default_rng(0)
