@@ -278,3 +278,11 @@ SQL["result_arrays"] = f"""WITH {WORDS}, {SYLLABLES}, s AS (SELECT *, row_number
     SELECT 'word' AS kind, pos, count(*) AS n, count(DISTINCT word) AS different, max(start_sec) AS latest FROM words GROUP BY pos
     UNION ALL SELECT 'syllable', at_pos, count(*), count(DISTINCT syllable), max(start_sec) FROM s GROUP BY at_pos"""
 SQL["uploader_channel"] = VERIFIED + """SELECT video_id, CASE WHEN duration_seconds % 2 = 0 THEN 'u ' ELSE 'c ' END || duration_seconds AS channel FROM verified"""
+SQL["voiced_in_spans"] = f"""WITH {WORDS}, {SIZES}, spans AS (SELECT recording_id, 'word' AS kind, pos AS span, start_sec, end_sec FROM words
+  UNION ALL SELECT recording_id, 'nine', pos // 9, min(start_sec), max(end_sec) FROM words GROUP BY recording_id, pos // 9
+  UNION ALL SELECT recording_id, 'recording', 0, min(start_sec), max(end_sec) FROM words GROUP BY recording_id),
+ f AS (SELECT recording_id, kind, span, unnest(range(CAST(ceil(4 * start_sec) AS BIGINT), CAST(floor(4 * end_sec) AS BIGINT) + 1)) AS i FROM spans),
+ g AS (SELECT recording_id, kind, span, count(*) AS n, sum(75 + 5 * ((recording_id * 31 + i * 17) % 97)) AS hz, max(i) / 4 AS last FROM f JOIN sizes USING (recording_id)
+  WHERE i < sizes.n AND recording_id % 10 <> 9 AND (recording_id * 31 + i * 17) % 97 >= 20 GROUP BY recording_id, kind, span)
+ SELECT s.recording_id, s.kind, CAST(s.span AS BIGINT) AS span, CAST(coalesce(n, 0) AS BIGINT) AS n_voiced, CAST(coalesce(hz, 0) AS BIGINT) AS hz_sum, CAST(last AS DOUBLE) AS last_voiced
+ FROM spans s LEFT JOIN g ON g.recording_id = s.recording_id AND g.kind = s.kind AND g.span = s.span"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import text as T
 from cadence.operators import align, candidates, captions, features, inference, manifest, payload, state
+from cadence.operators.rangejoin import points_in_intervals
 from cadence.plans import oracle
 from cadence.plans.fixtures import Inputs
 from cadence.sources import manifests, results, snapshots
@@ -365,6 +366,17 @@ def syllables_in_lines(i: Inputs) -> DataFrame:
     return captions.syllables_in_lines(times, align.syllable_units(i.words())).select("recording_id", "line", "pos", "syllable_index")
 
 
+@query
+def voiced_in_spans(i: Inputs) -> DataFrame:
+    """Voiced frames of each word, each nine words and each recording: intervals of under a second up to whole lengths, in one join."""
+    w, bounds = i.words(), (F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
+    of = lambda rows, kind, span: rows.withColumns({"kind": F.lit(kind), "span": span}).select("recording_id", "kind", "span", "start_sec", "end_sec")
+    nine = w.groupBy("recording_id", F.floor(F.col("pos") / 9).alias("k")).agg(*bounds)
+    spans = of(w, "word", F.col("pos")).unionByName(of(nine, "nine", F.col("k"))).unionByName(of(w.groupBy("recording_id").agg(*bounds), "recording", F.lit(0).cast("long")))
+    met = points_in_intervals(spans, i.frames().filter("f0 > 0"), "recording_id", F.col("start_sec"), F.col("end_sec"), "t", keep=True, levels=3)
+    return met.groupBy("recording_id", "kind", "span").agg(F.count("f0").alias("n_voiced"), F.coalesce(F.sum("f0"), F.lit(0.0)).cast("long").alias("hz_sum"), F.max("t").alias("last_voiced"))
+
+
 @query
 def word_info_text(i: Inputs) -> DataFrame:
     f = features.word_features(i.words(), i.frames())

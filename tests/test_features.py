@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadence.operators import align, features, payload
-from cadence.operators.rangejoin import points_in_intervals
+from cadence.operators.rangejoin import BUCKET_SECONDS, FAN, points_in_intervals
 from cadence.plans.fixtures import Inputs
 
 WORDS = "recording_id long, label string, pos long, word string, start_sec double, end_sec double"
@@ -55,6 +55,23 @@ def test_range_join_is_the_plain_join(spark, sf):
     assert "CartesianProduct" not in bucketed._jdf.queryExecution().toString() and "NestedLoop" not in bucketed._jdf.queryExecution().toString()
 
 
+def test_intervals_of_mixed_lengths(spark):
+    """From no length to a hundred hours, one that has no end and one that ends before it starts: the plain join's rows, and few listings."""
+    length = F.element_at(F.array(*map(F.lit, (0.0, 0.4, 63.5, 64.0, 65.0, 700.0, 4096.0, 20_000.0, 360_000.0, -3.0))), (F.col("id") % 10 + 1).cast("int"))
+    spans = spark.range(300).select((F.col("id") % 3).alias("rec"), F.col("id").alias("n"), (F.col("id") * 37.25).alias("s"), F.when(F.col("id") != 17, F.col("id") * 37.25 + length).alias("e"))
+    points = spark.range(6000).select((F.col("id") % 3).alias("rec"), (F.col("id") * 61.25).alias("t"))
+    p = points.withColumnRenamed("rec", "r")
+    plain = spans.join(p, (spans.rec == p.r) & (p.t >= spans.s) & (p.t <= spans.e)).select("n", "t")
+    for levels in (1, 2, 3, 4):
+        met = points_in_intervals(spans, points, "rec", F.col("s"), F.col("e"), "t", levels=levels).select("n", "t")
+        assert met.count() == plain.count() > 10_000 and met.exceptAll(plain).count() == 0
+    kept = points_in_intervals(spans, points, "rec", F.col("s"), F.col("e"), "t", keep=True, levels=4)
+    assert kept.filter("t is not null").select("n", "t").exceptAll(plain).count() == 0 and kept.select("n").distinct().count() == 300
+    # without points each listing stays as a row
+    listed = lambda levels: points_in_intervals(spans, points.filter("false"), "rec", F.col("s"), F.col("e"), "t", keep=True, levels=levels).groupBy("n").count().agg(F.max("count")).first()[0]
+    assert listed(1) == 360_001 and listed(3) <= FAN + 1 + 360_000 // (BUCKET_SECONDS * FAN**2) and listed(4) <= FAN + 1
+
+
 def test_both_kinds_at_once(spark, sf):
     i = Inputs(spark, sf)
     words, frames = i.words().filter("recording_id < 6"), i.frames().filter("recording_id < 6")
