@@ -56,3 +56,18 @@ def test_one_bad_recording_fails_alone(spark):
         out = {r.recording_id: (r.n, r.status, r.error) for r in inference.map_recordings(rows, lambda: len, transcribe, "n long", limit=2.0, many=together).collect()}
         good = {i: (len(t), "completed", None) for i, t in enumerate(texts) if t not in ("hang", "die")}
         assert out == good | {1: (None, "failed", "TimeoutError: no answer within 2 s"), 3: (None, "failed", "ChildProcessError: the model's process ended with code 9")}
+
+
+def test_a_new_child_starts_without_imports():
+    """Forty deaths, each followed by a new child: less than it takes to start Python and import what a child needs so often."""
+
+    def serve():
+        return lambda x: os._exit(x)
+
+    with pytest.raises(ChildProcessError, match="code 3"):
+        Child(serve, 60).ask(3, 30)
+    start = time.monotonic()
+    for _ in range(40):
+        with pytest.raises(ChildProcessError, match="code 4"):
+            Child(serve, 60).ask(4, 30)
+    assert time.monotonic() - start < 8
