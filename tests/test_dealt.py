@@ -32,3 +32,32 @@ def test_compared_features_take_a_few_bytes_a_word(spark, sf, name, tmp_path):
     before, words = size(), plans.QUERIES["word_features"](spark, sf).count()
     plans.QUERIES[name](spark, sf).collect()
     assert 0 < size() - before < 12 * words
+
+
+def test_events_that_come_together_are_one_state_entry():
+    """A job's waiting events cost one entry for each batch they came in, and are taken in order whatever their batches were."""
+    from types import SimpleNamespace
+
+    from cadence.streaming.lifecycle import Lives
+
+    class Held(list):
+        appendValue, get = list.append, lambda self: iter(self)  # noqa: RUF012
+        exists, put = lambda self: bool(self), lambda self, values: self.__setitem__(slice(None), values)
+
+    class One:
+        value = None
+        exists, get = lambda self: self.value is not None, lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    job = Lives("job_id", 10_000_000, 1_000_000_000)
+    job.waiting, job.life = Held(), One()
+    job.handle = SimpleNamespace(registerTimer=lambda at: None, deleteTimer=lambda at: None)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    event = lambda s, kind: SimpleNamespace(at_us=s * 1_000_000, seq=s, kind=kind, stage="x")
+    list(job.handleInputRows((1,), iter([event(3, "completed"), event(1, "queued"), event(9, "started")]), at(0)))
+    list(job.handleInputRows((1,), iter([event(2, "started")]), at(0)))
+    assert len(job.waiting) == 2
+    (out,) = job.handleExpiredTimer((1,), at(5_000), None)
+    assert (out.status, out.attempts, out.n_events) == ("completed", 1, 3) and len(job.waiting) == 1
