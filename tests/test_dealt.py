@@ -61,3 +61,15 @@ def test_events_that_come_together_are_one_state_entry():
     assert len(job.waiting) == 2
     (out,) = job.handleExpiredTimer((1,), at(5_000), None)
     assert (out.status, out.attempts, out.n_events) == ("completed", 1, 3) and len(job.waiting) == 1
+
+
+@pytest.mark.parametrize("name", ["result_files", "result_arrays"])
+def test_documents_lie_compressed(spark, sf, name):
+    """Documents that a query writes to read them again take less than a hundred bytes a word."""
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before, words = size(), plans.QUERIES["syllabify"](spark, sf).count()
+    plans.QUERIES[name](spark, sf)
+    assert 0 < size() - before < 100 * words
