@@ -73,3 +73,11 @@ def test_documents_lie_compressed(spark, sf, name):
     before, words = size(), plans.QUERIES["syllabify"](spark, sf).count()
     plans.QUERIES[name](spark, sf)
     assert 0 < size() - before < 100 * words
+
+
+def test_both_features_are_not_exchanged(spark, sf):
+    from cadence.operators import features
+    from cadence.plans.fixtures import Inputs
+
+    i = Inputs(spark, sf)
+    assert not any(exchanges(x) for x in features.both_features(i.words(), i.frames()))
