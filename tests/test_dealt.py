@@ -81,3 +81,8 @@ def test_both_features_are_not_exchanged(spark, sf):
 
     i = Inputs(spark, sf)
     assert not any(exchanges(x) for x in features.both_features(i.words(), i.frames()))
+
+
+def test_only_lines_are_exchanged(spark, sf):
+    """Lines leave the layout as rows and are exchanged once: to be looked up, to where the texts of their recordings lie."""
+    assert not exchanges(plans.QUERIES["syllables_in_lines"](spark, sf))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -114,3 +115,14 @@ def test_pitch_range(spark, floor, ceiling, ok):
 def test_rates_and_names(spark):
     r = spark.range(1).select(T.speech_rate(F.lit(2), T.clamp_duration(F.lit(0.6), F.lit(0.9))), T.clamp_duration(F.lit(1.0), F.lit(1.0)), T.duration_min(F.lit(450.0)), T.output_name(F.lit(7), F.lit("kids"), F.lit("k")), T.job_output_name(F.lit("a"), F.lit("normal"), F.lit("k")), T.utc_now()).first()
     assert math.isclose(r[0], 6.667) and r[1] == 1e-6 and r[2] == 7.5 and r[3] == "kids/video_0007_k.json" and r[4] == "normal/api_a_k.json" and r[5].endswith("+00:00")
+
+
+def test_syllables_are_counted_without_their_texts(spark):
+    """As many as syllabify's parts, whatever stands among the letters; and no text is made where none is asked for."""
+    r = random.Random(3)
+    made = ["".join(r.choice(a) for _ in range(r.randint(0, 9))) for a in ("aeiouyAEYbclstBLxz'\u00e9-9|#.\u017fK", "eElLstya'") for _ in range(5_000)]
+    words = spark.createDataFrame([(w,) for w in [*made, None, "", "le", "make\n", "ma\nke", "x-e"]], "word string")
+    assert words.filter(~T.count_syllables(F.col("word")).eqNullSafe(F.greatest(F.lit(1), F.size(T.syllabify(F.col("word")))))).count() == 0
+    units = syllable_units(words.withColumns({"start_sec": F.lit(0.0), "end_sec": F.lit(1.0)}))
+    times = units.select("syllable_index", "start_sec")
+    assert "regexp_replace" not in times._jdf.queryExecution().optimizedPlan().toString() and times.count() == units.filter("syllable IS NOT NULL").count()
