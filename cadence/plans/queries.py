@@ -344,7 +344,8 @@ def caption_lines(i: Inputs) -> DataFrame:
 
 @query
 def caption_times(i: Inputs) -> DataFrame:
-    t = captions.line_times(captions.caption_lines(i.words()))
+    i.dealt_chars = CAPTION_CHARS
+    t = captions.recording_lines(i.words())
     return t.select("recording_id", "line", "first_pos", "last_pos", F.round("line_start", 6).alias("line_start"), F.round("line_end", 6).alias("line_end"))
 
 

@@ -85,4 +85,5 @@ def test_both_features_are_not_exchanged(spark, sf):
 
 def test_only_lines_are_exchanged(spark, sf):
     """Lines leave the layout as rows and are exchanged once: to be looked up, to where the texts of their recordings lie."""
+    assert len(exchanges(plans.QUERIES["caption_times"](spark, sf))) == 1
     assert not exchanges(plans.QUERIES["syllables_in_lines"](spark, sf))
