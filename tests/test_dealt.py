@@ -87,3 +87,9 @@ def test_only_lines_are_exchanged(spark, sf):
     """Lines leave the layout as rows and are exchanged once: to be looked up, to where the texts of their recordings lie."""
     assert len(exchanges(plans.QUERIES["caption_times"](spark, sf))) == 1
     assert not exchanges(plans.QUERIES["syllables_in_lines"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["caption_events", "caption_file"])
+def test_caption_events_stay_where_the_texts_lie(spark, sf, name):
+    """Lines go to where the texts of their recordings lie; words, syllables and events are not exchanged by a plan of their own."""
+    assert not exchanges(plans.QUERIES[name](spark, sf))

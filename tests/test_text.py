@@ -126,3 +126,22 @@ def test_syllables_are_counted_without_their_texts(spark):
     units = syllable_units(words.withColumns({"start_sec": F.lit(0.0), "end_sec": F.lit(1.0)}))
     times = units.select("syllable_index", "start_sec")
     assert "regexp_replace" not in times._jdf.queryExecution().optimizedPlan().toString() and times.count() == units.filter("syllable IS NOT NULL").count()
+
+
+def test_numbers_shown_are_those_of_their_decimal_digits(spark):
+    """The quick way gives what rounding by decimal digits gives, at halves and near them, at the ends and where nothing is a number."""
+    values = [None, 0.0, -0.0, float("nan"), float("inf"), -1.25, 0.05, 0.25, 0.35, 2.675, 1.005, 0.5, 1.5, 2.5, 999999.95, 1e6, 1e12, 1e-9, *(k / 1000 for k in range(0, 3000, 7)), *(k / 8 for k in range(400))]
+    rows = spark.createDataFrame([(x,) for x in values], "x double")
+    for decimals in (0, 1, 2, 3):
+        exact = F.when(F.col("x").isNull(), T.DASH).otherwise(F.format_string(f"%.{decimals}f u", F.bround("x", decimals)))
+        assert rows.filter(~T.number_or_dash(F.col("x"), decimals, "u").eqNullSafe(exact)).count() == 0
+
+
+def test_cuts_of_long_and_odd_words(spark):
+    """Cuts found by looking back are those of the marks set one after the other, whatever the word's length and characters."""
+    words = ["", "cake", "be", "TABLE", "b'e", "l'e", "re-e", "naïve", "aſe", "añe", "ab\x00e", "|a|be|", "a#e", "a\nbe\n", "strengths" * 200 + "e", "b" * 3000 + "abe", None, "Queue.", "12", "é"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    word = F.col("word")
+    letters = F.regexp_replace(word, "[^A-Za-z]", "")
+    want = F.when(letters == "", F.array(word)).otherwise(F.split(T._marked(letters), "[|]"))
+    assert rows.filter(~T.syllabify(word).eqNullSafe(want) | ~T.count_syllables(word).eqNullSafe(F.greatest(F.lit(1), F.size(want)))).count() == 0
