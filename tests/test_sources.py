@@ -80,3 +80,32 @@ def test_a_job_that_fails_leaves_no_files(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         rows.write.format("named_text").option("path", f"{tmp_path}/n").mode("append").save()
     assert not [p for p in (tmp_path / "n").rglob("*") if p.is_file()]
+
+
+def test_units_are_those_of_words_and_syllables(spark, tmp_path, small_blocks):
+    """One table of both kinds holds what the two hold, for every shape of document, and parses each document once."""
+    words = [{**WORD, "word": f"w{i}", "start_time": i} for i in range(5)]
+    syllables = [{**WORD, "syllable": f"s{i}", "parent_word": "w", "syllable_index": 1, "syllable_count": 1, "timing_method": "x"} for i in range(4)]
+    for s in syllables:
+        del s["word"]
+    both = {"label": "normal", "source_url": "p", "language": "en", "granularity": "both", "words": words, "syllables": syllables}
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({**both, "source_url": f"u{i}"}) for i in range(40)) + "\n \n")
+    (tmp_path / "pretty.json").write_text(json.dumps(both, indent=2))
+    (tmp_path / "flat.json").write_text(json.dumps({"words": words[:2]}, indent=0))
+    (tmp_path / "words.jsonl").write_text("\n".join(json.dumps(words[i:]) for i in range(5)))
+    (tmp_path / "syllables.json").write_text(json.dumps(syllables))
+    (tmp_path / "broken.json").write_text("[{]\n{}\n")
+    two = results.read_results(spark, str(tmp_path))
+    names = ["file", "label", "source_url", "language", "kind", "pos", "part", "start_time", "end_time", *(c.split()[0] for c in results.NUMBERS.split(", "))]
+    want = [d.withColumns({"kind": F.lit(k), "part": F.col(k)}).select(names) for d, k in zip(two, ("word", "syllable"), strict=True)]
+    units = results.read_units(spark, str(tmp_path))
+    text = lambda rows: sorted(map(str, rows.collect()))
+    assert units.columns == names and text(units) == text(want[0].unionByName(want[1])) and units.count() > 300
+    assert units._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2 * 2  # an object or an array, in two branches of files
+
+
+def test_documents_on_lines_may_hold_any_character(spark, tmp_path):
+    """Characters that end a line elsewhere don't make two documents on lines one; blanks may follow a document."""
+    docs = [{"label": "kids", "source_url": f"u{i}", "language": "en", "granularity": "word", "words": [{**WORD, "word": c}]} for i, c in enumerate("a\u2028\u0085b")]
+    (tmp_path / "odd.json").write_text(" \n".join(json.dumps(d, ensure_ascii=False) for d in docs) + "\t\n", encoding="utf-8", newline="\n")
+    assert sorted(r.word for r in results.read_results(spark, str(tmp_path))[0].collect()) == sorted("a\u2028\u0085b")
