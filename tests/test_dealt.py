@@ -93,3 +93,12 @@ def test_only_lines_are_exchanged(spark, sf):
 def test_caption_events_stay_where_the_texts_lie(spark, sf, name):
     """Lines go to where the texts of their recordings lie; words, syllables and events are not exchanged by a plan of their own."""
     assert not exchanges(plans.QUERIES[name](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["result_files", "result_arrays"])
+def test_documents_are_parsed_once(spark, sf, name, monkeypatch):
+    """What is read back comes from one table of both kinds, not from two that each parse every document."""
+    from cadence.sources import results
+
+    monkeypatch.setattr(results, "read_results", None)
+    assert plans.QUERIES[name](spark, sf).count() > 0
